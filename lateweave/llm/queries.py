@@ -5,14 +5,57 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash
+from . import mixing, packing, simhash, tokens
 from .common import table
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = tokens.token_counts(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
+    return found.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
+
+
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op9_simhash_neardup": op9_simhash_neardup}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    "op1_source_mixing": op1_source_mixing,
+    "op5_token_counts": op5_token_counts,
+    "op8_packing": op8_packing,
+    "op9_simhash_neardup": op9_simhash_neardup,
+}
+
+_MIXING = r"""
+with d as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size,
+         md5('42|' || coalesce(doc_id::varchar, 'null')) key
+  from documents),
+s as (select source, sum(size)::bigint source_size from d group by source),
+w as (select *, [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] w from s),
+r as (select *, 2.0::double * source_size cap, (2.0::double * source_size) / w ratio from w),
+l as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over up, 0))
+                / (sum(w) over () - coalesce(sum(w) over up, 0)) lvl
+      from r window up as (order by ratio, source nulls last rows between unbounded preceding and 1 preceding)),
+f as (select coalesce((select lvl from l where lvl <= ratio order by ratio, source nulls last limit 1), 0)::double x),
+t as (select source, source_size, least(cap, x * w)::double target from l, f),
+p as (
+  select d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::bigint budget,
+         coalesce(sum(d.size) over (partition by d.source order by d.key, d.doc_id, d.size
+                                    rows between unbounded preceding and 1 preceding), 0)::bigint before
+  from d join t on d.source is not distinct from t.source),
+e as (select *, case when source_size > 0 then budget // source_size else 0 end epochs from p)
+select doc_id, size, source_size, target,
+       (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::bigint taken
+from e
+"""
+
+ORACLES: dict[str, str] = {"op1_source_mixing": _MIXING}
