@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, packing, simhash, tokens
+from . import media, mixing, packing, quality, simhash, tokens
 from .common import table
 
 
@@ -13,6 +13,12 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade")))
+    return quality.score(docs, model)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokens.token_counts(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
     return found.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -27,11 +33,17 @@ def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op10_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.payloads(media.media_of(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op3_quality_ordinal": op3_quality_ordinal,
     "op5_token_counts": op5_token_counts,
     "op8_packing": op8_packing,
     "op9_simhash_neardup": op9_simhash_neardup,
+    "op10_media_avi": op10_media_avi,
 }
 
 _MIXING = r"""
