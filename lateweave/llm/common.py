@@ -82,15 +82,14 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
             row = end
 
 
-def words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start, end and document of each run of non-blank bytes; no run crosses a document's end."""
-    if not len(buf):
+def runs(solid: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and document of each run of true values; no run crosses a document's end."""
+    if not len(solid):
         z = np.zeros(0, np.int64)
         return z, z, z
-    solid = ~BLANK[buf]
     before = np.empty_like(solid)
     before[0], before[1:] = False, solid[:-1]
-    before[at[:-1][at[:-1] < len(buf)]] = False
+    before[at[:-1][at[:-1] < len(solid)]] = False
     after = np.empty_like(solid)
     after[-1], after[:-1] = False, solid[1:]
     after[at[1:][at[1:] > 0] - 1] = False
@@ -98,6 +97,11 @@ def words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return start, end, np.searchsorted(at, start, "right") - 1
 
 
+def words(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The :func:`runs` of non-blank bytes."""
+    return runs(~BLANK[buf], at)
+
+
 _BASE, _INVERSE = 0x9E3779B97F4A7C15 | 1, pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64)
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 _powers: list[np.ndarray] = []

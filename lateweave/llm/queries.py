@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, mixing, packing, quality, simhash, tokens
+from . import chat, fingerprints, langid, media, mixing, packing, quality, simhash, tokens
 from .common import table
 
 
@@ -13,17 +13,38 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade")))
     return quality.score(docs, model)
 
 
+PROBE = "</s>[INST] ok [/INST]"
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
+    tokenizer = tokens.default_tokenizer()
+    return chat.read_back(chat.formatted(turns.union(probe), tokenizer), tokenizer)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = tokens.token_counts(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
     return found.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
+    found = langid.predict(docs, langid.train(docs.where(~F.col("held_out"))))
+    return found.withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
 
@@ -39,8 +60,11 @@ def op10_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_source_mixing": op1_source_mixing,
+    "op2_fingerprints": op2_fingerprints,
     "op3_quality_ordinal": op3_quality_ordinal,
+    "op4_chat_format": op4_chat_format,
     "op5_token_counts": op5_token_counts,
+    "op6_language_id": op6_language_id,
     "op8_packing": op8_packing,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_media_avi": op10_media_avi,
@@ -70,4 +94,28 @@ select doc_id, size, source_size, target,
 from e
 """
 
-ORACLES: dict[str, str] = {"op1_source_mixing": _MIXING}
+
+
+def _escaped(text: str) -> str:
+    sql = f"replace({text}, '{chat.MARK}', '{chat.MARK}0')"
+    for c in chat.GUARDED:
+        sql = f"replace({sql}, '{c}', '{c[0]}{chat.MARK}1{c[1:]}')"
+    return sql
+
+
+_CHAT = f"""
+with t as (
+  select conv_id, turn, coalesce(role, '') role, coalesce(text, '') text from conversations
+  union all select -1, 0, 'user', '{PROBE}' union all select -1, 1, 'assistant', '{PROBE}'),
+e as (select *, length({_escaped("text")}) + case role when 'user' then {len("[INST][/INST]")}
+                when 'assistant' then {len("<|assistant|></s>")}
+                else {len("<|role|><|text|><|end|>")} + length({_escaped("role")}) end chars from t)
+select conv_id, count(*)::bigint n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+       coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
+       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
+       (sum(chars) + {len("<s>")})::bigint formatted_chars
+from e group by conv_id
+"""
+
+ORACLES: dict[str, str] = {"op1_source_mixing": _MIXING, "op4_chat_format": _CHAT}
