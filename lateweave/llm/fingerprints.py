@@ -87,6 +87,12 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return text_frame(df, id_col, text_col).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+def splits_of(df: DataFrame, n: int) -> list[int]:
+    """Up to 3 n - 1 values of doc_id that cut the rows into about equal ranges."""
+    steps = [k / (3 * n) for k in range(1, 3 * n)]
+    return sorted(set(df.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, steps)), F.lit(30 * n)).alias("q")).first()["q"] or []))
+
+
 def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """part, ghost, doc_id, text: the rows dealt to ranges of descending ids (null last) and sorted there, each range
     followed by a ghost of the row that comes next; after the last range, the first row of all.
@@ -96,8 +102,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     spark = df.sparkSession
     docs = text_frame(df, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = partitions(spark)
-    steps = [k / (3 * n) for k in range(1, 3 * n)]
-    splits = sorted(set(docs.agg(F.percentile_approx("doc_id", F.array(*map(F.lit, steps)), F.lit(10 * n * 3)).alias("q")).first()["q"] or []))
+    splits = splits_of(docs, n)
     # Descending: the range of an id is the number of splits above it.
     above = F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s >= F.col("doc_id"))) if splits else F.lit(0)
     part = F.when(F.col("doc_id").isNull(), len(splits) + 1).otherwise(above).cast("int")

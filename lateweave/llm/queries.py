@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, fingerprints, langid, media, mixing, packing, quality, simhash, tokens
+from . import chat, fingerprints, langid, media, mixing, packing, quality, simhash, suffix_dedup, tokens
 from .common import table
 
 
@@ -45,6 +45,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("held_out", held_out).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
 
@@ -65,6 +69,7 @@ QUERIES = {
     "op4_chat_format": op4_chat_format,
     "op5_token_counts": op5_token_counts,
     "op6_language_id": op6_language_id,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_packing": op8_packing,
     "op9_simhash_neardup": op9_simhash_neardup,
     "op10_media_avi": op10_media_avi,
