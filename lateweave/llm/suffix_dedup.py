@@ -333,10 +333,11 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     counts = keys.agg(F.count("*").alias("rows"), F.count("doc_id").alias("named")).first()
     unique = counts["rows"] == counts["named"] and keys.groupBy("doc_id").count().where("count > 1").isEmpty()
     if unique:
-        keyed = docs.select(F.col("doc_id").alias("key"), "doc_id", "text")
+        # The same columns and filter at each use of base, so that Spark deals the texts out once.
+        keyed = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text")
         of = keys.select(F.col("doc_id").alias("key"), "digest", "long")
     else:
-        keyed = cut(_numbered(docs.withColumn("digest", digest)))
+        keyed = cut(_numbered(docs.withColumn("digest", digest))).where("key is not null")
         of = keyed.select("key", digest.alias("digest"), (F.octet_length("text") >= LENGTH).alias("long"))
     firsts = of.where("long").groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = of.join(firsts, "digest").where("key > first").select(F.col("key").alias("copy")).distinct()
@@ -354,7 +355,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     found = runs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged, "key long, start long, end long")
     spans = found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnRenamed("key", "k")
     marked = base.join(spans, F.col("key") == F.col("k"), "left").join(copies, F.col("key") == F.col("copy"), "left")
-    return marked.select("doc_id", "text", F.col("copy").isNotNull().alias("whole"), F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    return marked.select(F.col("key" if unique else "doc_id").alias("doc_id"), "text", F.col("copy").isNotNull().alias("whole"), F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
 
 def _kept(whole: bool, size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
