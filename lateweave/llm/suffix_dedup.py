@@ -301,126 +301,133 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield settle(held)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs`` with key: the rank of (doc_id, null last, digest), equal rows sharing one. Ids are dealt to ranges by
-    quantiles, numbered within a range, and ranges are offset by what comes before."""
+def _numbers(keys: DataFrame) -> DataFrame:
+    """i, g, key: the rank of every (doc_id, null last, digest). Ids are dealt to ranges by quantiles, numbered within
+    a range, and ranges are offset by what comes before."""
     from .fingerprints import splits_of
 
-    ids = docs.select("doc_id", "digest").distinct()
-    splits = splits_of(ids, partitions(docs.sparkSession))
+    ids = keys.select("doc_id", "digest").distinct()
+    splits = splits_of(ids, partitions(keys.sparkSession))
     part = F.when(F.col("doc_id").isNull(), len(splits) + 1).otherwise(F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s < F.col("doc_id"))) if splits else F.lit(0))
     ids = cut(ids.withColumn("part", part.cast("int")))
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offset = ids.groupBy("part").agg(F.count("*").alias("n")).select(F.col("part").alias("p"), before.alias("before"))
     number = F.row_number().over(W.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_last(), "digest"))
     ranked = ids.withColumn("number", number).join(offset, F.col("part") == F.col("p"))
-    ranked = ranked.select(F.col("doc_id").alias("i"), F.col("digest").alias("g"), (F.col("number") + F.col("before")).cast("long").alias("key"))
-    return docs.join(ranked, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("g"))).select("key", "doc_id", "text")
+    return cut(ranked.select(F.col("doc_id").alias("i"), F.col("digest").alias("g"), (F.col("number") + F.col("before")).cast("long").alias("key")))
 
 
-def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text, whole, starts, ends: each row with the byte spans [start, end) that go (they may overlap), or
-    whole = true if all of it repeats an earlier text.
-
-    Null texts are empty; null ids come last. Rows with the same id and text are one document, so both give the same
-    result; texts that share an id rank by digest. Texts below LENGTH bytes lose nothing; an empty table gives none.
-    """
+def _marked(df: DataFrame, id_col: str, text_col: str, rows: bool) -> DataFrame:
+    """Each row with __whole (all of it repeats an earlier text), __starts and __ends (byte spans that go and may
+    overlap): with doc_id and text only or, if ``rows``, all columns of ``df``."""
     spark = df.sparkSession
     n = partitions(spark)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    digest = F.md5(F.encode("text", "utf-8"))
-    keys = cut(docs.select("doc_id", digest.alias("digest"), (F.octet_length("text") >= LENGTH).alias("long")))
+    digest = lambda text: F.md5(F.encode(text, "utf-8"))
+    keys = cut(docs.select("doc_id", digest(F.col("text")).alias("digest"), (F.octet_length("text") >= LENGTH).alias("long")))
     counts = keys.agg(F.count("*").alias("rows"), F.count("doc_id").alias("named")).first()
     unique = counts["rows"] == counts["named"] and keys.groupBy("doc_id").count().where("count > 1").isEmpty()
     if unique:
         # The same columns and filter at each use of base, so that Spark deals the texts out once.
-        keyed = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text")
         of = keys.select(F.col("doc_id").alias("key"), "digest", "long")
+        base = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text").repartition(n, "key")
     else:
-        keyed = cut(_numbered(docs.withColumn("digest", digest))).where("key is not null")
-        of = keyed.select("key", digest.alias("digest"), (F.octet_length("text") >= LENGTH).alias("long"))
+        numbers = _numbers(keys)
+        on = lambda i, t: i.cast("long").eqNullSafe(F.col("i")) & (digest(F.coalesce(t, F.lit(""))) == F.col("g"))
+        of = keys.join(numbers, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("g"))).select("key", "digest", "long")
+        base = docs.join(numbers, on(F.col("doc_id"), F.col("text"))).where("key is not null").select("key", "doc_id", "text").repartition(n, "key")
     firsts = of.where("long").groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
-    copies = of.join(firsts, "digest").where("key > first").select(F.col("key").alias("copy")).distinct()
-    copies = cut(copies)
-    base = keyed.repartition(n, "key")
+    copies = cut(of.join(firsts, "digest").where("key > first").select(F.col("key").alias("copy")).distinct())
     rest = base.join(copies, F.col("key") == F.col("copy"), "left_anti")
     if not unique:
         rest = rest.dropDuplicates(["key"])
     grams = rest.select("key", "text").mapInArrow(_candidates, "gram long, key long, place long")
     again = grams.withColumn("n", F.count("*").over(W.partitionBy("gram"))).where("n > 1")
     places = again.groupBy("key").agg(F.collect_list("place").alias("places")).withColumnRenamed("key", "k")
-    buckets = 4 * n
-    texts = rest if not unique else base
-    runs = texts.join(places, F.col("key") == F.col("k")).select("key", "text", "places").mapInArrow(_runs(buckets), "bucket int, kind int, run binary")
+    texts = base if unique else rest
+    runs = texts.join(places, F.col("key") == F.col("k")).select("key", "text", "places").mapInArrow(_runs(4 * n), "bucket int, kind int, run binary")
     found = runs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged, "key long, start long, end long")
-    spans = found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("spans")).withColumnRenamed("key", "k")
-    marked = base.join(spans, F.col("key") == F.col("k"), "left").join(copies, F.col("key") == F.col("copy"), "left")
-    return marked.select(F.col("key" if unique else "doc_id").alias("doc_id"), "text", F.col("copy").isNotNull().alias("whole"), F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
-
-
-def _kept(whole: bool, size: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Which bytes of a text stay."""
-    if whole:
-        return np.zeros(size, bool)
-    step = np.zeros(size + 1, np.int32)
-    np.add.at(step, starts, 1)
-    np.add.at(step, ends, -1)
-    return np.cumsum(step)[:size] == 0
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, int, bytes, np.ndarray]]:
-    """Batch, row, bytes and what stays, for every row of :func:`removed`."""
-    for batch, buf, at in blocks(batches):
-        whole = batch.column(2).to_pylist()
-        lists = []
-        for c in (3, 4):
-            col = batch.column(c)
-            size = col.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            lists.append((col.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])))
+    spans = found.groupBy("key").agg(F.collect_list(F.struct("start", "end")).alias("__spans")).withColumnRenamed("key", "__k")
+    copies = copies.withColumnRenamed("copy", "__copy")
+    if rows:
+        all_ = [F.col(f"`{c}`") for c in df.columns]
+        if unique:
+            left = df.withColumn("__key", F.col(f"`{id_col}`").cast("long"))
+        else:
+            left = df.join(numbers, on(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))).select(*all_, F.col("key").alias("__key"))
+    else:
+        left = base.withColumnRenamed("key", "__key")
+        all_ = [F.col("__key" if unique else "doc_id").alias("doc_id"), F.col("text")]
+    marked = left.join(spans, F.col("__key") == F.col("__k"), "left").join(copies, F.col("__key") == F.col("__copy"), "left")
+    return marked.select(*all_, F.col("__copy").isNotNull().alias("__whole"), F.col("__spans.start").alias("__starts"), F.col("__spans.end").alias("__ends"))
+
+
+def _texts(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Blocks of :func:`_marked` rows, and of every row the text's bytes and which of them stay."""
+    for batch, buf, at in blocks(batches, text_col):
+        whole, *sides = batch.columns[-3:]
+        whole, lists = whole.to_pylist(), []
+        for side in sides:
+            size = side.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            lists.append((side.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])))
+        out = []
         for k in range(len(at) - 1):
-            s, e = (v[o[k] : o[k + 1]] for v, o in lists)
-            yield batch, k, buf[at[k] : at[k + 1]], _kept(whole[k], int(at[k + 1] - at[k]), s, e)
+            data, (starts, ends) = buf[at[k] : at[k + 1]], (v[o[k] : o[k + 1]] for v, o in lists)
+            if whole[k]:
+                stays = np.zeros(len(data), bool)
+            else:
+                step = np.zeros(len(data) + 1, np.int32)
+                np.add.at(step, starts.astype(np.int64), 1)
+                np.add.at(step, ends.astype(np.int64), -1)
+                stays = np.cumsum(step)[: len(data)] == 0
+            out.append((data, stays))
+        yield batch, out
 
 
 def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, a row for each row."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, a row for each row of ``df``.
+
+    Null texts are empty; null ids come last. Rows with the same id and text are one document, so both give the same
+    result; texts that share an id rank by digest. Texts below LENGTH bytes lose nothing; an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, rows = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"], []
-        kinds = [pa.int64()] * 4 + [pa.string()]
-        made = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
-        for batch, k, data, stays in _texts(batches):
-            starts = int((~stays[1:] & stays[:-1]).sum()) + int(len(stays) > 0 and not stays[0])
-            rows.append((batch.column(0)[k].as_py(), len(data), int((~stays).sum()), starts, hashlib.sha256(data[stays].tobytes()).hexdigest()))
-            if len(rows) >= 4096:
-                yield made()
-                rows = []
-        if rows:
-            yield made()
+        for batch, texts in _texts(batches, "text"):
+            rows = []
+            for data, stays in texts:
+                spans = int((~stays[1:] & stays[:-1]).sum()) + int(len(stays) > 0 and not stays[0])
+                rows.append((len(data), int((~stays).sum()), spans, hashlib.sha256(data[stays].tobytes()).hexdigest()))
+            columns = [pa.array(c) for c in zip(*rows, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return removed(df, id_col, text_col).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _marked(df, id_col, text_col, False).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text without the bytes that go, n_removed. A character of which a byte goes, goes."""
+def cleaned(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """The rows of ``df``, all their columns, without the bytes that go (a character of which a byte goes, goes) and,
+    if there is a column ``chars_col``, with their new length in code points.
+
+    Rows that lost all of a text go; rows whose text was null or empty before stay as they were.
+    """
+    names, schema = df.columns, df.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, size = [], 0
-        made = lambda: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.int64())], ["doc_id", "text", "n_removed"])
-        for batch, k, data, stays in _texts(batches):
-            # A character stays if all its bytes do.
-            if stays.all():
-                text = data.tobytes().decode("utf-8")
-            else:
-                lead = np.flatnonzero((data & 0xC0) != 0x80)
-                whole = np.minimum.reduceat(stays, lead)
-                text = data[np.repeat(whole, np.diff(np.append(lead, len(data))))].tobytes().decode("utf-8")
-            rows.append((batch.column(0)[k].as_py(), text, int((~stays).sum())))
-            size += len(data)
-            if size > 4 << 20:
-                yield made()
-                rows, size = [], 0
-        if rows:
-            yield made()
-
-    return removed(df, id_col, text_col).mapInArrow(run, "doc_id long, text string, n_removed long")
+        for batch, texts in _texts(batches, text_col):
+            old, new, keep = batch.column(names.index(text_col)), [], []
+            for k, (data, stays) in enumerate(texts):
+                if stays.all():
+                    new.append(old[k].as_py())
+                else:
+                    lead = np.flatnonzero((data & 0xC0) != 0x80)
+                    whole = np.minimum.reduceat(stays, lead)
+                    new.append(data[np.repeat(whole, np.diff(np.append(lead, len(data))))].tobytes().decode("utf-8"))
+                keep.append(not len(data) or new[-1] != "")
+            columns = batch.columns[: len(names)]
+            if chars_col in names:
+                at = names.index(chars_col)
+                chars = [c if s.all() else len(t) for c, (_, s), t in zip(columns[at].to_pylist(), texts, new, strict=True)]
+                columns[at] = pa.array(chars, columns[at].type)
+            columns[names.index(text_col)] = pa.array(new, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names).filter(pa.array(keep))
+
+    return _marked(df, id_col, text_col, True).mapInArrow(run, schema)
