@@ -146,9 +146,18 @@ def token_counts(df: DataFrame, tokenizer: str, cache_path: str | None = None, i
             stored = spark.createDataFrame([], CACHE)
         return stored.where(F.col("tokenizer") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
 
-    # One row stands for all that share a digest; joined by id as well, so that no digest gathers its copies.
-    missing = keys.groupBy("digest").agg(F.min("doc_id").alias("first_id")).join(known().select("digest"), "digest", "left_anti").withColumnRenamed("digest", "want")
-    texts = docs.join(missing, (F.col("digest") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("digest", "text")
+    # One id stands for all that share a digest; joined by both, so that no digest gathers its copies. Only where rows
+    # repeat that id as well, their texts meet to become one.
+    first = keys.groupBy("digest", "doc_id").agg(F.count("*").alias("n")).groupBy("digest").agg(F.min(F.struct("doc_id", "n")).alias("first"))
+    missing = first.join(known().select("digest"), "digest", "left_anti").select(F.col("digest").alias("want"), "first.*").withColumnRenamed("doc_id", "first_id")
+
+    def texts_of(some: DataFrame) -> DataFrame:
+        return docs.join(some, (F.col("digest") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").select("digest", "text")
+
+    repeated = missing.where("n > 1")
+    texts = texts_of(missing.where("n = 1"))
+    if not repeated.isEmpty():
+        texts = texts.union(texts_of(repeated).dropDuplicates(["digest"]))
     fresh = texts.mapInArrow(_counted(tokenizer), "digest string, n_tokens long")
     fresh.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(path)
     return keys.join(known(), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
