@@ -88,8 +88,7 @@ def nearest(vec: Column, centers: Column) -> Column:
 def elementwise(how: str, column: str, width: int) -> Column:
     """An aggregate of equally long arrays, value by value: one buffer per value, combined before the shuffle like any
     other sum, so a group of any size takes bounded memory and no array is exploded."""
-    f = getattr(F, how)
-    return F.array(*(f(F.col(column)[k]) for k in range(width)))
+    return F.expr(f"array({','.join(f'{how}({column}[{k}])' for k in range(width))})")
 
 
 def broadcast_if(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
@@ -98,6 +97,7 @@ def broadcast_if(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
 
 
 def checked_broadcast(df: DataFrame, bytes_per_row: int) -> DataFrame:
-    """As :func:`broadcast_if`, after counting up to one row more than would fit."""
+    """``df`` for broadcasting if it turns out to be small enough: then it has been computed, once; else as it was."""
     most = BROADCAST_BYTES // bytes_per_row
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    rows = df.limit(most + 1).toArrow()
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= most else df

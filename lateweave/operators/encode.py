@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import broadcast_if, elementwise, hamming, literal, plus, scaled, squared_distance
+from ..functions.vectors import broadcast_if, elementwise, hamming, literal, parities, plus, scaled, squared_distance, with_bit
 from ..plans.config import Encoding, FdeConfig, Fill, count_sketch, target_bits
 from .partition import by_centers, partitioned
 
@@ -51,6 +51,23 @@ def blocks(tokens: DataFrame, cfg: FdeConfig, id_col: str = "doc_id") -> DataFra
     return every.select(*keys, "part", count(F.col("own")).alias("cnt"), F.when(F.size("own") > 0, mean).otherwise(filler).alias("vec"))
 
 
+def ablated_blocks(tokens: DataFrame, cfg: FdeConfig, settings: list[tuple[int, int | None, int]], id_col: str = "doc_id") -> DataFrame:
+    """run, id, rep, part, cnt, vec for settings (run, forced bit or None, value), from one pass over the tokens.
+
+    A forced bit maps the bits of a token to another partition, so tokens of equal bits are combined once and only their
+    sums are dealt out to the settings. Empty partitions stay empty.
+    """
+    if cfg.fill is not Fill.NONE:
+        raise ValueError("filled encodings are ablated one setting at a time")
+    t = partitioned(tokens, cfg, id_col)
+    alike = t.groupBy(id_col, "rep", "raw").agg(F.count("*").alias("n"), elementwise("sum", "x", cfg.width).alias("total"))
+    raw = F.col("raw")
+    codes = [F.struct(F.lit(run).alias("run"), parities(raw if bit is None else with_bit(raw, cfg.bits, bit, value)).cast("int").alias("part")) for run, bit, value in settings]
+    dealt = alike.select(id_col, "rep", "n", "total", F.explode(F.array(*codes)).alias("to")).select("to.*", id_col, "rep", "n", "total")
+    found = dealt.groupBy("run", id_col, "rep", "part").agg(F.sum("n").alias("cnt"), elementwise("sum", "total", cfg.width).alias("vec"))
+    return found if cfg.encoding is Encoding.SUM else found.withColumn("vec", scaled(F.col("vec"), 1.0 / F.col("cnt")))
+
+
 def center_blocks(tokens: DataFrame, centers: np.ndarray, encoding: Encoding = Encoding.AVERAGE, fill: bool = False, id_col: str = "doc_id", components: np.ndarray | None = None) -> DataFrame:
     """As :func:`blocks` with partitions around [reps, partitions, values] centers. If ``fill``, an empty partition gets
     the bag's token nearest to its center (the smallest tok of equals)."""

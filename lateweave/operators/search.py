@@ -22,15 +22,16 @@ EMPTY_SCORE = -1e9
 BLOCK = 512
 
 
-def fde_scores(queries: DataFrame, docs: DataFrame, width: int, every: DataFrame | None = None) -> DataFrame:
-    """qid, doc_id, score: inner products of query blocks(qid, rep, part, vec) and document blocks.
+def fde_scores(queries: DataFrame, docs: DataFrame, width: int, every: DataFrame | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """qid, doc_id, score (after columns ``by`` of the documents): inner products of query blocks(qid, rep, part, vec)
+    and document blocks.
 
     An equi-join on the partition, so empty partitions cost nothing. Pairs without a common partition are left out
     unless ``every(qid, doc_id)`` lists the pairs wanted; they score 0.
     """
     q = checked_broadcast(queries.select("qid", F.col("rep").alias("q_rep"), F.col("part").alias("q_part"), F.col("vec").alias("q_vec")), 32 + 8 * width)
     met = docs.join(q, (F.col("rep") == F.col("q_rep")) & (F.col("part") == F.col("q_part")))
-    found = met.select("qid", "doc_id", dot(F.col("vec"), F.col("q_vec")).alias("s")).groupBy("qid", "doc_id").agg(F.sum("s").alias("score"))
+    found = met.select(*by, "qid", "doc_id", dot(F.col("vec"), F.col("q_vec")).alias("s")).groupBy(*by, "qid", "doc_id").agg(F.sum("s").alias("score"))
     if every is None:
         return found
     return every.join(found, ["qid", "doc_id"], "left").select("qid", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))

@@ -446,25 +446,25 @@ def ablation_summary(s: Scene) -> DataFrame:
     return experiments.ablation_summary(experiments.bit_ablation(s.d, tables.as_tokens(s.q), s.qrels(), DOC))
 
 
-def _repetitions(s: Scene) -> tuple[DataFrame, DataFrame]:
-    return s.query_blocks(WIDE), encode.blocks(s.d, WIDE.document())
+def _repetitions(s: Scene) -> tuple[DataFrame, DataFrame, int]:
+    return s.query_blocks(WIDE), encode.blocks(s.d, WIDE.document()), DIMENSION
 
 
 @query
 def repetition_ablation(s: Scene) -> DataFrame:
-    return experiments.repetition_ablation(*_repetitions(s), s.qrels())
+    return experiments.repetition_ablation(*_repetitions(s), s.qrels(), WIDE.reps)
 
 
 @query
 def top_repetitions(s: Scene) -> DataFrame:
-    return experiments.top_repetitions(experiments.repetition_ablation(*_repetitions(s), s.qrels()), WIDE.reps)
+    return experiments.top_repetitions(experiments.repetition_ablation(*_repetitions(s), s.qrels(), WIDE.reps), WIDE.reps)
 
 
 @query
 def combined_repetitions(s: Scene) -> DataFrame:
-    q, d = _repetitions(s)
-    chosen = experiments.top_repetitions(experiments.repetition_ablation(q, d, s.qrels()), WIDE.reps)
-    return experiments.combined_repetitions(q, d, s.qrels(), chosen)
+    start = _repetitions(s)
+    chosen = experiments.top_repetitions(experiments.repetition_ablation(*start, s.qrels(), WIDE.reps), WIDE.reps)
+    return experiments.combined_repetitions(*start, s.qrels(), chosen)
 
 
 @query
