@@ -6,13 +6,14 @@ longer document), so memory follows the longest document and not the partition.
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 2 << 20
@@ -139,3 +140,15 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
 def text_frame(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns that an operator works with, under names of its own; no other column can clash."""
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`") for c in more))
+
+
+def range_of(value: Column, splits: list[int]) -> Column:
+    """How many of the ascending ``splits`` are below ``value``: first whole stretches of them, then within one, so a
+    row costs about twice the root of their number."""
+    if not splits:
+        return F.lit(0)
+    step = math.isqrt(len(splits))
+    array = lambda some: F.expr(f"array({','.join(f'{x}L' if x >= 0 else f'({x + 1}L - 1L)' for x in some)})")
+    below = lambda some: F.size(F.filter(some, lambda s: s < value))
+    whole = below(array(splits[step - 1 :: step])) * step
+    return whole + below(F.slice(array(splits), whole + 1, F.lit(step)))

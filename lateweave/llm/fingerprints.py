@@ -21,9 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, mix, partitions, prefix_hashes, raw, span_hashes, text_frame, words
+from .common import LOWER, U64, mix, partitions, prefix_hashes, range_of, raw, span_hashes, text_frame, words
 
-SLOTS = 64
+SLOTS = 128
 
 
 @lru_cache(maxsize=1)
@@ -103,8 +103,8 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     docs = text_frame(df, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = partitions(spark)
     splits = splits_of(docs, n)
-    # Descending: the range of an id is the number of splits above it.
-    above = F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s >= F.col("doc_id"))) if splits else F.lit(0)
+    # Descending: the range of an id is the number of splits not below it.
+    above = len(splits) - range_of(F.col("doc_id"), splits)
     part = F.when(F.col("doc_id").isNull(), len(splits) + 1).otherwise(above).cast("int")
     docs = docs.withColumn("part", part)
     heads = sorted((r["part"], r["head"]) for r in docs.groupBy("part").agg(F.max("doc_id").alias("head")).collect())

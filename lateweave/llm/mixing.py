@@ -66,17 +66,24 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
 
 def mixed(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The mix itself: rows of ``df`` with all their columns, each as often as the mix takes it whole, and once more,
-    cut after its last word taken, where the budget ends within it. Documents of no word aren't taken."""
-    t = mix(df, weights, share, most, seed, id_col, text_col, source_col).where("taken > 0")
-    t = t.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.max("taken").alias("__taken"))
-    at = df.withColumn("__n", word_count(F.col(f"`{text_col}`")))
-    got = at.join(t, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.col(f"`{source_col}`").eqNullSafe(F.col("__source")) & (F.col("__n") == F.col("__size")))
-    words = F.regexp_extract_all(F.col(f"`{text_col}`"), F.lit(f"({WORD})"), F.lit(1))
-    part = (F.col("__taken") % F.col("__size")).cast("int")
-    copies = F.concat(
-        F.array_repeat(F.lit(0), F.expr("cast(__taken div __size as int)")),
-        F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")),
-    )
-    got = got.withColumn("__part", F.explode(copies))
-    text = F.when(F.col("__part") == 0, F.col(f"`{text_col}`")).otherwise(F.array_join(F.slice(words, 1, F.greatest(F.col("__part"), F.lit(1))), " "))
-    return got.withColumn(text_col, text).select(*(F.col(f"`{c}`") for c in df.columns))
+    cut after its last word taken, where the budget ends within it. Documents of no word aren't taken. Rows that agree
+    in id, source and size share what the mix takes of them: all of them whole, as often as it goes, then one by one in
+    the order of their texts' hashes."""
+    keys = ["__id", "__source", "__size"]
+    t = mix(df, weights, share, most, seed, id_col, text_col, source_col).where("size > 0")
+    t = t.groupBy(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size")).agg(F.count("*").alias("__rows"), F.sum("taken").alias("__taken")).where("__taken > 0")
+    text = F.col(f"`{text_col}`")
+    at = df.withColumn("__words", word_count(text))
+    got = at.join(t, F.col(f"`{id_col}`").eqNullSafe(F.col("__id")) & F.col(f"`{source_col}`").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
+    placed = got.where("__rows = 1").withColumn("__place", F.lit(1))
+    if not t.where("__rows > 1").isEmpty():
+        order = W.partitionBy(*keys).orderBy(F.xxhash64(text))
+        placed = placed.union(got.where("__rows > 1").withColumn("__place", F.row_number().over(order)))
+    rest = "__taken % (__rows * __size)"
+    whole = F.expr(f"cast(__taken div (__rows * __size) + if(__place <= ({rest}) div __size, 1, 0) as int)")
+    part = F.expr(f"cast(if(__place = ({rest}) div __size + 1, ({rest}) % __size, 0) as int)")
+    copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
+    out = placed.withColumn("__part", F.explode(copies))
+    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
+    cut_text = F.when(F.col("__part") == 0, text).otherwise(F.array_join(F.slice(words, 1, F.greatest(F.col("__part"), F.lit(1))), " "))
+    return out.withColumn(text_col, cut_text).select(*(F.col(f"`{c}`") for c in df.columns))

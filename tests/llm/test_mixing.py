@@ -73,6 +73,18 @@ def test_the_mix_holds_what_was_taken(spark):
     assert got == Counter({k: v for k, v in taken.items() if v})
 
 
+def test_rows_that_repeat_share_what_is_taken(spark):
+    rows = [(1, "a b c", "en", "s")] * 3 + [(1, "x y z", "en", "s"), (2, "d e f g", "en", "s"), (3, prose(1, 90), "en", "t")]
+    df = documents(spark, rows)
+    taken = Counter()
+    for r in mixing.mix(df).collect():
+        taken[r["doc_id"]] += r["taken"]
+    got = Counter()
+    for r in mixing.mixed(df).collect():
+        got[r["doc_id"]] += SIZE(r["text"])
+    assert got == Counter({k: v for k, v in taken.items() if v}) and sum(got.values()) > 100
+
+
 def test_odd_rows(spark):
     rows = mixing.mix(odd(spark)).collect()
     assert len(rows) == odd(spark).count()

@@ -321,3 +321,12 @@ def test_long_conversations_are_cut_between_turns(spark, monkeypatch):
     assert back[1]["loss_sha256"] == sha("".join(x for _, _, r, x in rows[:30] if r == "assistant"))
     assert back[None]["turns_sha256"] == sha("user\ny\nassistant\nz\n")
     assert chat.read_back(chat.formatted(df.limit(0), kind), kind).count() == 0
+
+
+@pytest.mark.parametrize("splits", [[], [5], [-9, 0, 4], sorted(range(-50, 900, 7)), [-(2**63) + 1, 2**63 - 2]])
+def test_ranges(spark, splits):
+    from lateweave.llm.common import range_of
+
+    values = [-(2**63), -10, -9, -8, 0, 4, 5, 6, 100, 895, 2**63 - 1]
+    df = spark.createDataFrame([(v,) for v in values], "v long").select("v", range_of(F.col("v"), splits).alias("r"))
+    assert {r["v"]: r["r"] for r in df.collect()} == {v: sum(s < v for s in splits) for v in values}
