@@ -39,20 +39,24 @@ def ivf_search(queries: DataFrame, docs: DataFrame, lists: DataFrame, probes: Da
     return topk(every, k)
 
 
+def hashed_share(df: DataFrame, share: float, seed: int, *by: str) -> DataFrame:
+    """About ``share`` of the rows, the same ones on each run: a filter by the hash of their keys, without a shuffle."""
+    return df if share >= 1 else df.where(F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 24)) < int(share * (1 << 24)))
+
+
 def train_lists(dense: DataFrame, cfg: FdeConfig, lists: int, seed: int = 42, sample: int | None = None) -> DataFrame:
     """Centers as blocks(qid = list, rep, part, vec), by k-means over dense encodings(doc_id, fde).
 
-    Trained on at most ``sample`` documents (max(100 per list, 50,000) if None), those whose ids hash lowest.
+    Trained on about ``sample`` documents (max(100 per list, 50,000) if None), chosen by the hash of their ids.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    most = sample or max(100 * lists, 50_000)
-    some = dense.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(most)
+    if 8 * lists * cfg.length > BROADCAST_BYTES:
+        raise ValueError("the centers of so many lists are too large for one model; lower lists or the encoding's length")
+    some = hashed_share(dense, (sample or max(100 * lists, 50_000)) / max(1, dense.count()), seed, "doc_id")
     model = KMeans(k=lists, seed=seed, maxIter=20, tol=1e-4).fit(some.select(array_to_vector(doubles(F.col("fde"))).alias("features")))
     rows = [(i, c.reshape(-1, cfg.width)) for i, c in enumerate(map(np.asarray, model.clusterCenters()))]
-    if sum(c.nbytes for _, c in rows) > 4 * BROADCAST_BYTES:
-        raise ValueError("so many lists of such encodings are too large for one model; lower either")
     cells = [(i, r // cfg.partitions, r % cfg.partitions, v.tolist()) for i, c in rows for r, v in enumerate(c) if v.any()]
     return dense.sparkSession.createDataFrame(cells, "qid long, rep int, part int, vec array<double>")
 
@@ -63,17 +67,17 @@ def train_lists(dense: DataFrame, cfg: FdeConfig, lists: int, seed: int = 42, sa
 def train_centers(tokens: DataFrame, cfg: FdeConfig, ratio: float = 0.2, seed: int | None = None) -> np.ndarray:
     """[reps, partitions, dimension] centers by k-means, each repetition on its own sample of tokens.
 
-    The sample is a share ``ratio`` of the tokens but two per center at least; it stays distributed.
+    The sample is about a share ``ratio`` of the tokens, about two per center at least; it stays distributed.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     base = cfg.seed if seed is None else seed
-    n = tokens.count()
-    most = max(int(n * ratio), 2 * cfg.partitions)
+    n = max(1, tokens.count())
+    share = max(ratio, 2 * cfg.partitions / n)
     out = []
     for r in range(cfg.reps):
-        some = tokens.orderBy(F.xxhash64(F.lit(base + r), "doc_id", "tok"), "doc_id", "tok").limit(most) if most < n else tokens
+        some = hashed_share(tokens, share, base + r, "doc_id", "tok")
         model = KMeans(k=cfg.partitions, seed=base + r, initMode="k-means||", maxIter=20, tol=1e-3).fit(some.select(array_to_vector(doubles(F.col("vec"))).alias("features")))
         found = np.stack([np.asarray(c) for c in model.clusterCenters()])
         if len(found) < cfg.partitions:  # fewer distinct tokens than partitions: the rest is never nearest
@@ -141,7 +145,7 @@ def pack(tokens: DataFrame, block_size: int) -> DataFrame:
     return tokens.join(starts, "doc_id").select("doc_id", "tok", F.floor(F.col("tok") / block_size).cast("long").alias("block"), (F.col("start") + F.col("tok")).alias("row"), "vec")
 
 
-def offsets(sizes: DataFrame, id_col: str, size_col: str, ranges: int = 1024) -> DataFrame:
+def offsets(sizes: DataFrame, id_col: str, size_col: str, ranges: int = 256) -> DataFrame:
     """``sizes`` with start, the sum of all sizes before it by id. Ids are cut into ranges at quantiles; only the
     ranges' sums meet in one task, and what is ordered within a task is a range."""
     quantiles = sizes.agg(F.percentile_approx(id_col, F.array(*(F.lit(k / ranges) for k in range(1, ranges))), 10 * ranges).alias("q")).first()["q"] or []
