@@ -174,7 +174,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     found = components(links(nodes, distance))
     rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Kept, so that its join is one of two exchanges, whose large components Spark can split.
+    lowest = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
     return docs.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
