@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, cut, partitions, prefix_hashes, span_hashes
+from .common import U64, blocks, cut, mix, partitions, prefix_hashes, range_of, span_hashes
 
 LENGTH, GRAM = 100, 24
 SIDE = LENGTH - GRAM  # the largest distance of an anchor from its window's start
@@ -205,10 +205,21 @@ def _unpack(data: bytes, parts: int) -> list[bytes]:
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of (route, key, at), at being twice the place and 1 more if the gram is sure to repeat, which it is if the
+    block holds it several times. Its first anchor then goes where grams are counted, for the sake of other blocks, its
+    others each by a route of its own. So however frequent a gram is, where it is counted there is one row of it a
+    block. Routes are 48 bits: where two grams share one, both are candidates."""
     for batch, buf, at in blocks(batches):
         doc, place, gram, _, _ = anchors(buf, at)
-        key = batch.column(0).to_numpy()[doc]
-        yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(key), pa.array(place - at[doc])], ["gram", "key", "place"])
+        key, place = batch.column(0).to_numpy()[doc], place - at[doc]
+        order = np.argsort(gram, kind="stable")
+        same = gram[order[1:]] == gram[order[:-1]]
+        later, sure = np.zeros(len(gram), bool), np.zeros(len(gram), bool)
+        later[order[1:][same]] = True
+        sure[order[1:][same]] = sure[order[:-1][same]] = True
+        own = mix(mix(key.view(U64) + U64(1)) + place.view(U64)).view(np.int64)
+        route = np.where(later, own, gram) & ((1 << 48) - 1)
+        yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(key), pa.array(2 * place + sure)], ["route", "key", "at"])
 
 
 def _runs(buckets: int):
@@ -308,7 +319,7 @@ def _numbers(keys: DataFrame) -> DataFrame:
 
     ids = keys.select("doc_id", "digest").distinct()
     splits = splits_of(ids, partitions(keys.sparkSession))
-    part = F.when(F.col("doc_id").isNull(), len(splits) + 1).otherwise(F.size(F.filter(F.array(*map(F.lit, splits)), lambda s: s < F.col("doc_id"))) if splits else F.lit(0))
+    part = F.when(F.col("doc_id").isNull(), len(splits) + 1).otherwise(range_of(F.col("doc_id"), splits))
     ids = cut(ids.withColumn("part", part.cast("int")))
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offset = ids.groupBy("part").agg(F.count("*").alias("n")).select(F.col("part").alias("p"), before.alias("before"))
@@ -336,14 +347,16 @@ def _marked(df: DataFrame, id_col: str, text_col: str, rows: bool) -> DataFrame:
         on = lambda i, t: i.cast("long").eqNullSafe(F.col("i")) & (digest(F.coalesce(t, F.lit(""))) == F.col("g"))
         of = keys.join(numbers, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("g"))).select("key", "digest", "long")
         base = docs.join(numbers, on(F.col("doc_id"), F.col("text"))).where("key is not null").select("key", "doc_id", "text").repartition(n, "key")
-    firsts = of.where("long").groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Kept, so that its join is one of two exchanges, whose large groups of copies Spark can split.
+    firsts = cut(of.where("long").groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"))
     copies = cut(of.join(firsts, "digest").where("key > first").select(F.col("key").alias("copy")).distinct())
-    rest = base.join(copies, F.col("key") == F.col("copy"), "left_anti")
+    # Not an anti-join, which Spark would move below the exchange of base; so all uses of base share one exchange.
+    rest = base.join(copies, F.col("key") == F.col("copy"), "left").where("copy is null").drop("copy")
     if not unique:
         rest = rest.dropDuplicates(["key"])
-    grams = rest.select("key", "text").mapInArrow(_candidates, "gram long, key long, place long")
-    again = grams.withColumn("n", F.count("*").over(W.partitionBy("gram"))).where("n > 1")
-    places = again.groupBy("key").agg(F.collect_list("place").alias("places")).withColumnRenamed("key", "k")
+    grams = rest.select("key", "text").mapInArrow(_candidates, "route long, key long, at long")
+    again = grams.withColumn("n", F.count("*").over(W.partitionBy("route"))).where("n > 1 or at % 2 = 1")
+    places = again.groupBy("key").agg(F.collect_list(F.shiftright("at", 1)).alias("places")).withColumnRenamed("key", "k")
     texts = base if unique else rest
     runs = texts.join(places, F.col("key") == F.col("k")).select("key", "text", "places").mapInArrow(_runs(4 * n), "bucket int, kind int, run binary")
     found = runs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_merged, "key long, start long, end long")
