@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -101,3 +102,14 @@ def checked_broadcast(df: DataFrame, bytes_per_row: int) -> DataFrame:
     most = BROADCAST_BYTES // bytes_per_row
     rows = df.limit(most + 1).toArrow()
     return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= most else df
+
+
+def ranges_below(value: Column, splits: Sequence, kind: str = "double") -> Column:
+    """How many of the ascending ``splits`` are below ``value``: first whole stretches of them, then within one, so a
+    row costs about twice the root of their number."""
+    if not splits:
+        return F.lit(0)
+    step = math.isqrt(len(splits))
+    below = lambda some: F.size(F.filter(some, lambda s: s < value))
+    whole = below(literal(splits[step - 1 :: step], kind)) * step
+    return whole + below(F.slice(literal(splits, kind), whole + 1, F.lit(step)))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import BROADCAST_BYTES, dot, doubles, literal, norm, sign_bits
+from ..functions.vectors import BROADCAST_BYTES, dot, doubles, literal, norm, ranges_below, sign_bits
 from ..plans.config import FdeConfig, gray_decode, lsh_planes
 from .search import fde_scores, topk
 
@@ -145,13 +145,12 @@ def pack(tokens: DataFrame, block_size: int) -> DataFrame:
     return tokens.join(starts, "doc_id").select("doc_id", "tok", F.floor(F.col("tok") / block_size).cast("long").alias("block"), (F.col("start") + F.col("tok")).alias("row"), "vec")
 
 
-def offsets(sizes: DataFrame, id_col: str, size_col: str, ranges: int = 256) -> DataFrame:
+def offsets(sizes: DataFrame, id_col: str, size_col: str, ranges: int = 1024) -> DataFrame:
     """``sizes`` with start, the sum of all sizes before it by id. Ids are cut into ranges at quantiles; only the
     ranges' sums meet in one task, and what is ordered within a task is a range."""
     quantiles = sizes.agg(F.percentile_approx(id_col, F.array(*(F.lit(k / ranges) for k in range(1, ranges))), 10 * ranges).alias("q")).first()["q"] or []
     splits = sorted(set(quantiles))
-    below = F.size(F.filter(literal(splits, "bigint"), lambda s: s < F.col(id_col))) if splits else F.lit(0)
-    parted = sizes.withColumn("__range", below)
+    parted = sizes.withColumn("__range", ranges_below(F.col(id_col), splits, "bigint"))
     running = lambda w: F.coalesce(F.sum(w[1]).over(w[0].rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     per = parted.groupBy("__range").agg(F.sum(size_col).alias("__sum"))
     before = per.select("__range", running((W.orderBy("__range"), "__sum")).alias("__before"))

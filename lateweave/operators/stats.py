@@ -2,25 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import literal
-
-#: Names of column statistics; short forms as well.
-METRICS: dict[str, object] = {
-    "mean": F.avg,
-    "median": F.median,
-    "std": F.stddev_samp,
-    "min": F.min,
-    "max": F.max,
-    "p50": lambda c: F.percentile(c, F.lit(0.5)),
-    "p95": lambda c: F.percentile(c, F.lit(0.95)),
-    "p99": lambda c: F.percentile(c, F.lit(0.99)),
-    "p999": lambda c: F.percentile(c, F.lit(0.999)),
-    "count": F.count,
-    "sum": F.sum,
-}
+from ..functions.vectors import ranges_below
+
+#: Column statistics that one pass gives, quantiles by their share, and short forms of names.
+METRICS = {"mean": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "count": F.count, "sum": F.sum}
+QUANTILES = {"median": 0.5, "p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
+ALL = ["mean", "median", "std", "min", "max", "p50", "p95", "p99", "p999", "count", "sum"]
 ALIASES = {"avg": "mean", "med": "median"}
 
 
@@ -83,18 +76,58 @@ def repetition_extremes(reps: DataFrame) -> DataFrame:
     return reps.agg(first(-F.col("avg_rate")).alias("best_rate"), first(F.col("avg_rate")).alias("worst_rate"), first(-F.col("total_count")).alias("most_tokens"), first(F.col("total_count")).alias("fewest_tokens"))
 
 
+def _value(column: str) -> Column:
+    """A number, null where it isn't one."""
+    number = F.col(f"`{column}`").cast("double")
+    return F.when(~F.isnan(number), number)
+
+
+def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], ranges: int = 1024) -> DataFrame:
+    """column_name, share, value: linearly interpolated quantiles, null and NaN left out; empty columns have none.
+
+    Values are counted, cut into ranges at approximate quantiles, and only the ranges that hold a wanted place are
+    ordered: no task sees a whole column, however many values it has.
+    """
+    steps = F.expr(f"array({','.join(f'{k / ranges!r}D' for k in range(1, ranges))})")
+    found = df.agg(*(c for k, x in enumerate(columns) for c in (F.percentile_approx(_value(x), steps, F.lit(10 * ranges)).alias(f"q{k}"), F.count(_value(x)).alias(f"n{k}")))).first()
+    places = []
+    for k, c in enumerate(columns):
+        for p in shares if found[f"n{k}"] else ():
+            at = p * (found[f"n{k}"] - 1)
+            low = math.floor(at)
+            places += [(c, p, low, 1 - (at - low))] + ([(c, p, low + 1, at - low)] if at > low else [])
+    wanted = F.broadcast(df.sparkSession.createDataFrame(places, "column_name string, share double, place long, weight double"))
+    each = F.explode(F.array(*(F.struct(F.lit(c).alias("column_name"), _value(c).alias("v")) for c in columns)))
+    counts = df.select(each.alias("e")).select("e.*").where("v is not null").groupBy("column_name", "v").agg(F.count("*").alias("n"))
+    part = F.lit(0)
+    for k, c in enumerate(columns):
+        part = F.when(F.col("column_name") == c, ranges_below(F.col("v"), sorted({s for s in found[f"q{k}"] or [] if math.isfinite(s)}))).otherwise(part)
+    parted = counts.withColumn("part", part)
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = parted.groupBy("column_name", "part").agg(F.sum("n").alias("total")).withColumn("before", before(W.partitionBy("column_name").orderBy("part"), "total"))
+    held = sums.join(wanted, "column_name").where("before <= place and place < before + total").select("column_name", "part", "before").distinct()
+    ordered = parted.join(F.broadcast(held), ["column_name", "part"])  # two ranges at most for each place wanted
+    ordered = ordered.withColumn("first", F.col("before") + before(W.partitionBy("column_name", "part").orderBy("v"), "n"))
+    met = ordered.join(wanted, "column_name").where("first <= place and place < first + n")
+    return met.groupBy("column_name", "share").agg(F.sum(F.col("v") * F.col("weight")).alias("value"))
+
+
 def column_stats(df: DataFrame, columns: list[str], metrics: list[str] | str = "all") -> DataFrame:
     """column_name and the metrics asked for, a row for each column: exact, with linearly interpolated quantiles and
     the sample deviation; null and NaN are left out."""
-    names = list(METRICS) if metrics == "all" else [ALIASES.get(m, m) for m in metrics]
-    if unknown := [m for m in names if m not in METRICS]:
+    names = ALL if metrics == "all" else [ALIASES.get(m, m) for m in metrics]
+    if unknown := [m for m in names if m not in ALL]:
         raise ValueError(f"no such metrics: {unknown}")
     if missing := [c for c in columns if c not in df.columns]:
         raise ValueError(f"no such columns: {missing}")
-    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
-    wide = df.agg(*(METRICS[m](value(c)).alias(f"{c}__{m}") for c in columns for m in names))
-    rows = [F.struct(F.lit(c).alias("column_name"), *(F.col(f"{c}__{m}").cast("double").alias(m) for m in names)) for c in columns]
-    return wide.select(F.explode(F.array(*rows)).alias("e")).select("e.*")
+    simple, shares = [m for m in names if m in METRICS], sorted({QUANTILES[m] for m in names if m in QUANTILES})
+    wide = df.agg(F.lit(1).alias("one"), *(METRICS[m](_value(c)).alias(f"{k}__{m}") for k, c in enumerate(columns) for m in simple))
+    rows = [F.struct(F.lit(c).alias("column_name"), *(F.col(f"{k}__{m}").cast("double").alias(m) for m in simple)) for k, c in enumerate(columns)]
+    out = wide.select(F.explode(F.array(*rows)).alias("e")).select("e.*")
+    if shares:
+        q = exact_quantiles(df, columns, shares).groupBy("column_name").agg(*(F.max(F.when(F.col("share") == p, F.col("value"))).alias(f"q{k}") for k, p in enumerate(shares)))
+        out = out.join(q, "column_name", "left")
+    return out.select("column_name", *(F.col(f"q{shares.index(QUANTILES[m])}").alias(m) if m in QUANTILES else F.col(m) for m in names))
 
 
 def validated(df: DataFrame, required: list[str]) -> DataFrame:
@@ -113,6 +146,3 @@ def timing_report(timings: dict[str, float], docs: int, reps: int) -> list[tuple
     """phase, seconds, percent, milliseconds a document and a repetition, slowest phase first."""
     total = sum(timings.values()) or 1.0
     return [(k, v, 100 * v / total, 1000 * v / max(1, docs), 1000 * v / max(1, reps)) for k, v in sorted(timings.items(), key=lambda x: -x[1])]
-
-
-__all__ = [n for n in globals() if not n.startswith("_") and n not in ("annotations", "Column", "DataFrame", "F", "literal")]

@@ -287,6 +287,18 @@ def test_column_stats_names(spark):
             stats.column_stats(df, columns, names)
 
 
+@pytest.mark.parametrize("ranges", [1024, 4])
+def test_exact_quantiles(spark, ranges):
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=501), np.round(rng.exponential(size=501), 1)
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b, strict=True)] + [(float("nan"), None)], "a double, `b c` double")
+    shares = [0.0, 0.25, 0.5, 0.9, 0.999, 1.0]
+    got = {(r["column_name"], r["share"]): r["value"] for r in stats.exact_quantiles(df, ["a", "b c"], shares, ranges).collect()}
+    assert got == {(n, p): pytest.approx(float(np.quantile(x, p))) for n, x in (("a", a), ("b c", b)) for p in shares}
+    assert stats.exact_quantiles(df.limit(0), ["a"], shares).collect() == []
+    assert stats.column_stats(df.limit(0), ["a"]).first()["p95"] is None
+
+
 def test_bad_judgements_are_left_out(spark, tmp_path):
     p = tmp_path / "qrels.tsv"
     p.write_text("query_id\tdocid\tscore\nq1\td1\t2\nq1\td2\t0\nq2\td3\tx\nq2\td4\n\td5\t1\n")
