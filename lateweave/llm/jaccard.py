@@ -1,0 +1,164 @@
+"""Near-duplicates by the Jaccard similarity of their sets of five-word shingles.
+
+Candidates share a band of MinHash values: 20 bands of 5 find a pair of similarity 0.8 with probability 0.9996, of 0.9
+with more. Each candidate is verified on the shingle sets (32-bit hashes). Equal sets are folded before that, buckets
+with the same members are compared once, and a bucket yields a spanning forest of its links, never all its pairs.
+
+Case and blanks don't count; a text of fewer than five words is one shingle, and texts without a word are one set.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import LOWER, U64, blocks, cut, mix, partitions, prefix_hashes, span_hashes, text_frame, words
+from .simhash import components
+
+WORDS, BANDS, ROWS = 5, 20, 5
+_STEP = U64(0xD6E8FEB86659FD93)
+_SLOTS = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * ROWS), dtype=np.int64).astype(U64) * U64(2) + U64(1)
+
+
+def grams(buf: np.ndarray, at: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Text and hash of every distinct shingle of a block's texts, in order of both."""
+    start, end, doc = words(buf, at)
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0, U64)
+    word = span_hashes(prefix_hashes(LOWER[buf]), start, end)
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
+    count = np.diff(np.append(first, len(doc)))
+    shingles = np.maximum(1, count - n + 1)
+    rows = np.concatenate([[0], np.cumsum(shingles)])
+    head = np.repeat(first - rows[:-1], shingles) + np.arange(rows[-1])
+    stop = np.repeat(first + count, shingles)
+    h = np.zeros(len(head), U64)
+    for k in range(n):
+        inside = head + k < stop
+        h[inside] = h[inside] * _STEP + word[head[inside] + k]
+    h, owner = mix(h), doc[head]
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
+    return owner[new], h[new]
+
+
+def sets_of(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Number of each text's set (0: no word), the texts that have one, where it starts (one entry more), and hashes."""
+    owner, h = grams(buf, at)
+    node = np.zeros(len(at) - 1, U64)
+    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(h) else np.zeros(0, np.int64)
+    if len(h):
+        node[owner[heads]] = mix(np.add.reduceat(mix(h ^ _STEP), heads))
+    return node.view(np.int64), owner[heads], np.append(heads, len(h)), h
+
+
+def bands(h: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """[sets, BANDS] keys."""
+    keys = np.empty((len(heads), BANDS), U64)
+    for b in range(BANDS):
+        key = np.full(len(heads), b + 1, U64)
+        for k in range(b * ROWS, (b + 1) * ROWS):
+            key = mix(key ^ np.minimum.reduceat((h ^ _SLOTS[0, k]) * _SLOTS[1, k], heads)) + U64(k)
+        keys[:, b] = key
+    return keys.view(np.int64)
+
+
+def with_bands(df: DataFrame) -> DataFrame:
+    """doc_id, node, keys of every row of df(doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, buf, at in blocks(batches):
+            node, has, heads, h = sets_of(buf, at)
+            size = np.zeros(len(node) + 1, np.int32)
+            size[has + 1] = BANDS
+            keys = pa.ListArray.from_arrays(pa.array(np.cumsum(size, dtype=np.int32)), pa.array(bands(h, heads[:-1]).ravel()) if len(has) else pa.array([], pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(node), keys], ["doc_id", "node", "keys"])
+
+    return df.mapInArrow(run, "doc_id long, node long, keys array<long>")
+
+
+def with_sets(df: DataFrame) -> DataFrame:
+    """node, grams (32 bits of each shingle's hash) of every row of df(doc_id, text) that has a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, buf, at in blocks(batches):
+            node, has, heads, h = sets_of(buf, at)
+            short = (h >> U64(32)).astype("<u4")
+            sets = [short[a:b].tobytes() for a, b in zip(heads[:-1], heads[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(node[has]), pa.array(sets, pa.binary())], ["node", "grams"])
+
+    return df.mapInArrow(run, "node long, grams binary")
+
+
+def forest(nodes: list[int], sets: list[bytes], share: float) -> list[tuple[int, int]]:
+    """Links that connect the sets of a bucket whose similarity is ``share`` or more, directly or over others."""
+    size = np.array([len(s) // 4 for s in sets])
+    at = np.concatenate([[0], np.cumsum(size)])
+    values, place = np.unique(np.frombuffer(b"".join(sets), "<u4"), return_inverse=True)
+    left, out = np.ones(len(nodes), bool), []
+    while left.sum() > 1:
+        frontier = [int(np.flatnonzero(left)[0])]
+        left[frontier[0]] = False
+        while frontier and left.any():
+            p = frontier.pop()
+            mark = np.zeros(len(values), np.int64)
+            mark[place[at[p] : at[p + 1]]] = 1
+            both = np.add.reduceat(mark[place], at[:-1])
+            found = np.flatnonzero(left & (both >= share * (size[p] + size - both) - 1e-9))
+            left[found] = False
+            frontier.extend(found.tolist())
+            out += [(min(nodes[p], nodes[k]), max(nodes[p], nodes[k])) for k in found]
+    return out
+
+
+def links(docs: DataFrame, nodes: DataFrame, share: float = 0.8) -> DataFrame:
+    """src < dst: links among nodes(node, keys) of docs(doc_id, text), with the components of all verified candidates."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            pair = forest(ids, sets, share)
+            return pa.RecordBatch.from_arrays([pa.array([a for a, _ in pair], pa.int64()), pa.array([b for _, b in pair], pa.int64())], ["src", "dst"])
+
+        key, ids, sets = None, [], []
+        for batch in batches:
+            for k, node, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key and ids:
+                    yield out()
+                    ids, sets = [], []
+                key = k
+                ids.append(node)
+                sets.append(s)
+        if ids:
+            yield out()
+
+    rows = cut(nodes.select(F.explode("keys").alias("key"), "node"))
+    same = rows.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("node").alias("a"), F.bit_xor(F.xxhash64("node")).alias("b")).where("n > 1")
+    wanted = cut(rows.join(same.groupBy("n", "a", "b").agg(F.min("key").alias("key")).select("key"), "key"))
+    sets = with_sets(docs).join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams"))
+    met = wanted.join(sets, "node").select("key", "node", "grams").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key")
+    return met.mapInArrow(verify, "src long, dst long").distinct()
+
+
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.8) -> DataFrame:
+    """doc_id, component_id (the smallest doc_id reachable over links, its own included), a row for each row."""
+    texts = text_frame(df, id_col, text_col)
+    docs = cut(with_bands(texts))
+    nodes = cut(docs.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("keys").alias("keys")))
+    found = components(links(texts, nodes, share))
+    rooted = nodes.select("node", "first_id").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    lowest = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
+    return docs.select("doc_id", "node").join(rooted.join(lowest, "root").select("node", "component_id"), "node", "left").select("doc_id", "component_id")
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.8) -> DataFrame:
+    """The rows of ``df``, all its columns, whose id is its component's id: one document of each group stays.
+
+    Rows that repeat an id that stays all stay; a group whose ids are all null stays whole.
+    """
+    keep = near_duplicates(df, id_col, text_col, share).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
+    return df.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")), "left_semi")

@@ -1,0 +1,72 @@
+"""Near-duplicates by shingle sets against brute force."""
+
+from __future__ import annotations
+
+import re
+import sys
+from collections import Counter
+from pathlib import Path
+
+import numpy as np
+
+sys.path.insert(0, str(Path(__file__).parent))
+from cases import documents, empty, odd, prose
+
+from lateweave.llm import jaccard, stages
+
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def shingles(text: str | None) -> frozenset:
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
+    return frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4)))
+
+
+def stays(rows: list[tuple[int, str | None]]) -> set[int]:
+    """The least id of each component of all pairs of similarity 0.8 or more."""
+    root, sets = {i: i for i, _ in rows}, [shingles(t) for _, t in rows]
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for k, (i, _) in enumerate(rows):
+        for m in range(k):
+            if 5 * len(sets[k] & sets[m]) >= 4 * len(sets[k] | sets[m]):
+                x, y = sorted((find(i), find(rows[m][0])))
+                root[y] = x
+    return {find(i) for i in root}
+
+
+def test_stage_takes_five_words_and_eight_tenths(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    want = stays([(r["doc_id"], r["text"]) for r in docs.collect()])
+    assert {r["doc_id"] for r in stages.near_duplicate_stage(spark, docs, folder).collect()} == want
+
+
+def test_edited_copies(spark):
+    """Copies of each text with so many words changed that some are above 0.8 and some below."""
+    rng, rows = np.random.default_rng(3), []
+    for g in range(12):
+        text = prose(100 + g, 200).split()
+        for edits in (0, 1, 2, 3, 4, 5, 8):
+            w = list(text)
+            for p in rng.choice(200, edits, replace=False):
+                w[p] = f"new{g}-{edits}-{p}"
+            rows.append((len(rows), " ".join(w), "en", "web"))
+    want = stays([(i, t) for i, t, _, _ in rows])
+    assert 12 < len(want) < 60
+    assert {r["doc_id"] for r in jaccard.keep_one(documents(spark, rows)).collect()} == want
+
+
+def test_odd_rows(spark):
+    kept = jaccard.keep_one(odd(spark))
+    assert kept.columns == odd(spark).columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, None, -5, 1, 4, 5, 6, 8, 8, 8, 10, 11])
+    assert jaccard.keep_one(empty(spark)).count() == 0
+
+
+def test_buckets_are_connected_over_others():
+    sets = [np.arange(a, a + 100, dtype="<u4").tobytes() for a in (0, 10, 20, 500)]
+    assert {frozenset(x) for x in jaccard.forest([7, 3, 5, 1], sets, 0.8)} == {frozenset((7, 3)), frozenset((3, 5))}
