@@ -252,6 +252,8 @@ ORACLES: dict[str, str] = {
     "fde_scan_topk": FDE_TOP,
     "stored_index": FDE_TOP,
     "fde_full_ranking": f"with {FDE} {TOP_OUT} ra",
+    "fde_full_ranking_every": f"""with {FDE}, ev as (select qid, doc_id, coalesce(score, 0) score from (select distinct qid from qt) cross join (select distinct doc_id from dt) left join sc using (qid, doc_id))
+{TOP_OUT} (select *, {RANK} rank from ev)""",
     "chamfer_bruteforce": CHAMFER_TOP,
     "append_truth": CHAMFER_TOP,
     "chamfer_candidates": f"with {FDE}, {cand(20)}, {chamfer()} select qid, doc_id, {r6('h.score')} score from ca join ch h using (qid, doc_id)",

@@ -111,6 +111,13 @@ def fde_full_ranking(s: Scene) -> DataFrame:
     return search.topk(s.scores(), None)
 
 
+@query
+def fde_full_ranking_every(s: Scene) -> DataFrame:
+    """The full ranking with the pairs that have no common partition, which score 0."""
+    every = s.q.select("qid").distinct().crossJoin(s.d.select("doc_id").distinct())
+    return search.topk(search.fde_scores(s.query_blocks(DOC), encode.blocks(s.d, DOC), DOC.width, every), None)
+
+
 @query
 def chamfer_bruteforce(s: Scene) -> DataFrame:
     return s.truth()
