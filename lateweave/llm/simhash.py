@@ -12,19 +12,40 @@ id only if the component has no other. Repeated rows give repeated result rows.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, U64, blocks, cut, partitions, text_frame, words
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))  # lowest bit, width
 #: Buckets up to this size are compared by shifts over the sorted table, larger ones one pivot at a time.
 SMALL = 8
+_LANES = U64(0x0101010101010101)
+
+
+def majority(h: np.ndarray, heads: np.ndarray) -> np.ndarray:
+    """The 64-bit SimHash of each group heads[k] to heads[k + 1] of hashes, no group being empty: bits set in over half.
+
+    Eight counters of a byte are added up in one 64-bit word, for up to 255 hashes at a time.
+    """
+    size = np.diff(heads)
+    per = -(-size // 255)
+    group = np.concatenate([[0], np.cumsum(per)])
+    start = np.repeat(heads[:-1] - 255 * group[:-1], per) + 255 * np.arange(group[-1])
+    on = np.empty((len(size), 64), bool)
+    for b in range(8):
+        count = np.add.reduceat((h >> U64(b)) & _LANES, start).astype("<u8").view(np.uint8).reshape(-1, 8)
+        if len(count) != len(size):
+            count = np.add.reduceat(count, group[:-1], axis=0, dtype=np.int64)
+        on[:, b::8] = 2 * count.astype(np.int64) > size[:, None]
+    return np.packbits(on, axis=1, bitorder="little").view("<u8")[:, 0].astype(U64)
 
 
 def fingerprints_of(buf: np.ndarray, at: np.ndarray, shingle: int = 4, seed: int = 42) -> np.ndarray:
@@ -52,13 +73,8 @@ def fingerprints_of(buf: np.ndarray, at: np.ndarray, shingle: int = 4, seed: int
     tail = np.minimum(head + shingle, np.repeat(first + count, shingles)) - 1
     data, digest = flat.tobytes(), xxhash.xxh64_intdigest
     ends = to[tail] + length[tail]
-    for k in range(0, len(first), 256):  # bits take 64 bytes a shingle
-        a, b = rows[k], rows[min(k + 256, len(first))]
-        h = np.fromiter((digest(data[s:e], seed) for s, e in zip(to[head[a:b]].tolist(), ends[a:b].tolist(), strict=True)), U64, b - a)
-        group = rows[k : min(k + 256, len(first))] - a
-        bits = np.add.reduceat(np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), group, axis=0, dtype=np.int64)
-        on = 2 * bits > shingles[k : k + 256, None]
-        out[doc[first[k : k + 256]]] = np.packbits(on, axis=1, bitorder="little").view("<u8")[:, 0]
+    h = np.fromiter((digest(data[s:e], seed) for s, e in zip(to[head].tolist(), ends.tolist(), strict=True)), U64, len(head))
+    out[doc[first]] = majority(h, rows)
     return out
 
 
@@ -114,32 +130,52 @@ def links(fps: DataFrame, distance: int = 4) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(variants(part.view(U64)).ravel()), pa.array(np.repeat(part, 64))], ["key", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if not got:
-            return
-        key, fp = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.argsort(key, kind="stable")
-        key, fp = key[order], fp[order].view(U64)
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        count = np.diff(np.append(first, len(key)))
-        a, b = [], []
-        rest = np.flatnonzero(np.repeat((count > 1) & (count <= SMALL), count))
-        for shift in range(1, SMALL):
-            rest = rest[rest + shift < len(key)]
-            rest = rest[key[rest] == key[rest + shift]]
-            hit = rest[np.bitwise_count(fp[rest] ^ fp[rest + shift]) <= distance]
-            a.append(fp[hit])
-            b.append(fp[hit + shift])
-        for f, n in zip(first[count > SMALL], count[count > SMALL], strict=True):
-            x, y = forest(fp[f : f + n], distance)
-            a.append(x)
-            b.append(y)
-        x, y = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-        pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["src", "dst"])
+        for key, fp in whole_keys(batches):
+            fp = fp.view(U64)
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            count = np.diff(np.append(first, len(key)))
+            a, b = [], []
+            rest = np.flatnonzero(np.repeat((count > 1) & (count <= SMALL), count))
+            for shift in range(1, SMALL):
+                rest = rest[rest + shift < len(key)]
+                rest = rest[key[rest] == key[rest + shift]]
+                hit = rest[np.bitwise_count(fp[rest] ^ fp[rest + shift]) <= distance]
+                a.append(fp[hit])
+                b.append(fp[hit + shift])
+            for f, n in zip(first[count > SMALL], count[count > SMALL], strict=True):
+                x, y = forest(fp[f : f + n], distance)
+                a.append(x)
+                b.append(y)
+            x, y = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+            if len(x):
+                pair = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["src", "dst"])
 
     n = partitions(fps.sparkSession)
-    return fps.select("fp").mapInArrow(index, "key long, fp long").repartition(n, "key").mapInArrow(verify, "src long, dst long").distinct()
+    keyed = fps.select("fp").mapInArrow(index, "key long, fp long").repartition(n, "key").sortWithinPartitions("key")
+    return keyed.mapInArrow(verify, "src long, dst long").distinct()
+
+
+def whole_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The columns of batches that are sorted by the first one, in pieces that don't cut a key; what is held is a batch
+    and the rows of one key."""
+    held: list[list[np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        key = columns[0]
+        if held and held[0][0][0] != key[0]:
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held = []
+        last = int(np.searchsorted(key, key[-1], "left"))
+        if last:
+            held.append([c[:last] for c in columns])
+            yield [np.concatenate(c) for c in zip(*held, strict=True)]
+            held = []
+        held.append([c[last:] for c in columns])
+    if held:
+        yield [np.concatenate(c) for c in zip(*held, strict=True)]
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -166,23 +202,52 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("dst").alias("node"), F.col("src").alias("root")).union(now.select("src", "src").distinct())
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable over links, its own included), a row for each row."""
+def _grouped(df: DataFrame, id_col: str, text_col: str, distance: int) -> tuple[DataFrame, DataFrame]:
+    """doc_id, node (fingerprint) of every row; node, root, component_id of every fingerprint."""
     if not 0 <= distance <= 4:
-        raise ValueError("three segments with one wildcard each find distances up to 4")
-    docs = cut(with_fingerprints(df, id_col, text_col))
-    nodes = docs.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    found = components(links(nodes, distance))
-    rooted = nodes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        raise ValueError("three segments with one wildcard each find distances up to 4; see resemblance for more")
+    docs = cut(with_fingerprints(df, id_col, text_col).withColumnRenamed("fp", "node"))
+    nodes = docs.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    found = components(links(nodes.select(F.col("node").alias("fp")), distance))
+    rooted = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Kept, so that its join is one of two exchanges, whose large components Spark can split.
     lowest = cut(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")))
-    return docs.join(rooted.join(lowest, "root").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
+    return docs, rooted.join(lowest, "root").select("node", "root", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
-    """The rows of ``df``, all its columns, whose id is its component's id: one document of each group stays.
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable over links, its own included), a row for each row."""
+    docs, roots = _grouped(df, id_col, text_col, distance)
+    return docs.join(roots.select("node", "component_id"), "node", "left").select("doc_id", F.col("node").alias("fp"), "component_id")
 
-    Rows that repeat an id that stays all stay; a group whose ids are all null stays whole.
+
+def keep_rows(df: DataFrame, docs: DataFrame, roots: DataFrame, nodes_of: Callable[[np.ndarray, np.ndarray], np.ndarray], id_col: str, text_col: str) -> DataFrame:
+    """One row of ``df`` for each root: of the rows with the component's id, the first by node and text.
+
+    docs(doc_id, node) has a row for each of ``df`` and roots(node, root, component_id) for each node. Where every id
+    is there once, a semi-join by id does it; else the node of each row that may stay (``nodes_of`` of bytes and
+    starts) tells which group it is of, and a limit of one row a group acts in each task before the shuffle.
     """
-    keep = near_duplicates(df, id_col, text_col, distance).where("doc_id <=> component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return df.join(keep, F.col(f"`{id_col}`").eqNullSafe(F.col("__kept_id")), "left_semi")
+    own = F.col(f"`{id_col}`").cast("long")
+    ids = roots.select(F.col("component_id").alias("__kept_id")).distinct()
+    may = df.join(ids, own.eqNullSafe(F.col("__kept_id")), "left_semi")
+    if docs.where("doc_id is null").isEmpty() and docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return may
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, buf, at in blocks(batches, text_col):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes_of(buf, at))], [*batch.schema.names, "__node"])
+
+    noded = may.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField("__node", T.LongType())]))
+    of = roots.select(F.col("node").alias("__n"), F.col("root").alias("__root"), F.col("component_id").alias("__id"))
+    placed = noded.join(of, (F.col("__node") == F.col("__n")) & own.eqNullSafe(F.col("__id")))
+    order = W.partitionBy("__root").orderBy("__node", F.xxhash64(F.col(f"`{text_col}`")))
+    one = placed.withColumn("__place", F.row_number().over(order)).where("__place = 1")
+    return one.select(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4) -> DataFrame:
+    """One row of ``df``, all its columns, for each group: that of the smallest doc_id (a null one only if the group
+    has no other). Of rows that repeat that id within the group, one stays."""
+    docs, roots = _grouped(df, id_col, text_col, distance)
+    return keep_rows(df, docs, roots, lambda buf, at: fingerprints_of(buf, at).view(np.int64), id_col, text_col)

@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 from cases import documents, empty, odd, odd_rows, prose
-from test_dedup import by_hand as near_groups
 from test_dedup import removed
+from test_resemblance import stays
 from test_texts import check_packing
 
 from lateweave.llm import media, quality, stages, tokens
@@ -223,8 +223,7 @@ def test_quality_stage(spark, folder, steps):
 
 def test_near_duplicate_stage(steps):
     before, after = steps[1]
-    want = {i for i, _, root in near_groups(list(texts(before).items())) if i == root}
-    assert set(texts(after)) == want
+    assert set(texts(after)) == stays(list(texts(before).items()))
 
 
 def test_repeat_stage(steps):

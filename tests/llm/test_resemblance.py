@@ -12,7 +12,7 @@ import numpy as np
 sys.path.insert(0, str(Path(__file__).parent))
 from cases import documents, empty, odd, prose
 
-from lateweave.llm import jaccard, stages
+from lateweave.llm import resemblance, simhash, stages
 
 LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -57,16 +57,41 @@ def test_edited_copies(spark):
             rows.append((len(rows), " ".join(w), "en", "web"))
     want = stays([(i, t) for i, t, _, _ in rows])
     assert 12 < len(want) < 60
-    assert {r["doc_id"] for r in jaccard.keep_one(documents(spark, rows)).collect()} == want
+    assert {r["doc_id"] for r in resemblance.keep_one(documents(spark, rows)).collect()} == want
 
 
 def test_odd_rows(spark):
-    kept = jaccard.keep_one(odd(spark))
+    kept = resemblance.keep_one(odd(spark))
     assert kept.columns == odd(spark).columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, None, -5, 1, 4, 5, 6, 8, 8, 8, 10, 11])
-    assert jaccard.keep_one(empty(spark)).count() == 0
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, -5, 1, 4, 5, 6, 8, 8, 10, 11])
+    assert resemblance.keep_one(empty(spark)).count() == 0
+
+
+def test_groups_that_no_least_member_connects(spark):
+    """Copies of a text with edits of their own: two of them are below 0.8, each and the text above."""
+    text = prose(7, 300).split()
+    rows = []
+    for k in range(20):
+        w = list(text)
+        for p in np.random.default_rng(k).choice(300, 5, replace=False):
+            w[p] = f"own{k}-{p}"
+        rows.append((k, " ".join(w), "en", "web"))
+    rows.append((99, " ".join(text), "en", "web"))
+    assert len(stays([(i, t) for i, t, _, _ in rows[:-1]])) > 5
+    want = stays([(i, t) for i, t, _, _ in rows])
+    assert want == {0}
+    assert {r["doc_id"] for r in resemblance.keep_one(documents(spark, rows)).collect()} == want
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Whatever ids are: repeated ones, null ones, and one id in two groups."""
+    a, b = prose(1, 50), prose(2, 50)
+    rows = [(1, a), (1, a), (1, b), (None, b), (None, prose(3, 50)), (None, prose(3, 50)), (2, a)]
+    for keep in (resemblance.keep_one, simhash.keep_one):
+        kept = keep(documents(spark, [(*r, "en", "s") for r in rows])).collect()
+        assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([(1, a), (1, b), (None, prose(3, 50))])
 
 
 def test_buckets_are_connected_over_others():
     sets = [np.arange(a, a + 100, dtype="<u4").tobytes() for a in (0, 10, 20, 500)]
-    assert {frozenset(x) for x in jaccard.forest([7, 3, 5, 1], sets, 0.8)} == {frozenset((7, 3)), frozenset((3, 5))}
+    assert {frozenset(x) for x in resemblance.forest([7, 3, 5, 1], sets, 0.8)} == {frozenset((7, 3)), frozenset((3, 5))}
