@@ -1,6 +1,6 @@
 """Language identification of mixed-language texts.
 
-A word (a run of letters) is scored by letter trigrams with its edges, one for each letter, under every candidate
+A word (a run of letters and the marks on them) is scored by letter trigrams with its edges, one for each letter, under every candidate
 language; the script of its first letter decides which languages are candidates. Viterbi over the words of a document,
 with a penalty for each change of language, labels spans; the document's language is the one with most letters.
 """
@@ -27,11 +27,12 @@ N_SCRIPTS = 26
 
 @lru_cache(maxsize=1)
 def alphabet() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: is a letter or mark within a word, simple lower case, script."""
+    """By code point: 1 a letter, 2 a mark (vowel signs and accents stand within words), else 0; simple lower case;
+    script."""
     chars = [chr(k) for k in range(0x110000)]
-    letter = np.fromiter((unicodedata.category(c)[0] == "L" for c in chars), bool, len(chars))
+    letter = np.fromiter(({"L": 1, "M": 2}.get(unicodedata.category(c)[0], 0) for c in chars), np.uint8, len(chars))
     low = np.arange(0x110000, dtype=np.uint32)
-    for k in np.flatnonzero(letter).tolist():
+    for k in np.flatnonzero(letter == 1).tolist():
         if len(x := chars[k].lower()) == 1:
             low[k] = ord(x)
     script = np.zeros(0x110000, np.uint8)
@@ -58,7 +59,11 @@ def letters(buf: np.ndarray, at: np.ndarray) -> Block:
     code = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), "<u4")
     count = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
     chars = count[at]
-    start, end, doc = runs(letter[code], chars)
+    kind = letter[code]
+    start, end, doc = runs(kind > 0, chars)
+    if (kind == 2).any():  # a run of marks alone is no word
+        real = np.add.reduceat(np.append(kind == 1, False), np.stack([start, end], 1).ravel())[::2] > 0 if len(start) else np.zeros(0, bool)
+        start, end, doc = start[real], end[real], doc[real]
     size = end - start
     first = np.cumsum(size) - size
     place = np.repeat(start - first, size) + np.arange(int(size.sum()))
@@ -86,7 +91,7 @@ class Model:
         """The language of every word of a block."""
         n, k = len(b.start), len(self.languages)
         if not n or not k:
-            return np.zeros(n, np.uint8)
+            return np.zeros(n, np.int32)
         s = np.stack([np.add.reduceat(row[b.gram], b.first) for row in self.logs], 1).astype(np.float64)
         allowed = self.candidates[b.script[b.first]]
         s[~allowed.any(1)] = 0.0
@@ -97,7 +102,7 @@ class Model:
         order = np.argsort(-size, kind="stable")
         head, size = head[order], size[order]
         longer = np.searchsorted(-size, -np.arange(size[0]), "left")  # texts with more than t words
-        came, best = np.zeros((n, k), bool), np.zeros(n, np.uint8)  # changed language before the word, from which
+        came, best = np.zeros((n, k), bool), np.zeros(n, np.int32)  # changed language before the word, from which
         v = s[head].copy()
         for t in range(1, int(size[0])):
             m = longer[t]
@@ -107,8 +112,8 @@ class Model:
             change = now < jump[:, None]
             came[at], best[at] = change, top
             v[:m] = np.where(change, jump[:, None], now) + s[at]
-        out = np.zeros(n, np.uint8)
-        state = v.argmax(1).astype(np.uint8)
+        out = np.zeros(n, np.int32)
+        state = v.argmax(1).astype(np.int32)
         for t in range(int(size[0]) - 1, -1, -1):
             m = longer[t]
             at = head[:m] + t

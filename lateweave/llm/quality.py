@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import LOWER, U64, blocks, mix, prefix_hashes, span_hashes, text_frame, words
@@ -116,10 +117,12 @@ def grade_of(quality: Column, toxic: Column) -> Column:
     return F.when(toxic == 1, 0).when(quality == 0, 1).when(quality >= 1, 2)
 
 
-def train(df: DataFrame, ratings: DataFrame, most: int = 8192, grades: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
-    """A model from ``ratings(doc_id, grade)``: at most ``most`` rated documents, those whose ids hash lowest.
+def train(df: DataFrame, ratings: DataFrame, most: int = 8192, most_bytes: int = 64 << 20, grades: int = 3, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> Ordinal:
+    """A model from ``ratings(doc_id, grade)``: at most ``most`` rated documents, those whose ids hash lowest, and of
+    those as many, in the same order, as have ``most_bytes`` of features (four bytes each) together.
 
-    Ratings with a null id or grade are passed over, of several ratings of an id the lowest holds.
+    Ratings with a null id or grade are passed over, of several ratings of an id the lowest holds. Rows that repeat an
+    id are one document, the one whose features sort first.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,13 +130,16 @@ def train(df: DataFrame, ratings: DataFrame, most: int = 8192, grades: int = 3,
             doc, feature = features(buf, at)
             cut = np.searchsorted(doc, np.arange(len(at)))
             packed = [feature[a:b].astype("<i4").tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int32()), pa.array(packed, pa.binary())], ["grade", "features"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int32()), pa.array(packed, pa.binary())], ["h", "grade", "features"])
 
     rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     chosen = rated.withColumn("h", F.xxhash64(F.lit(seed), "doc_id")).orderBy("h", "doc_id").limit(most)
-    ids = chosen.select(F.col("doc_id").alias("rated_id"), "grade")
-    docs = text_frame(df, id_col, text_col).join(F.broadcast(ids), F.col("doc_id") == F.col("rated_id")).select("doc_id", "text", "grade")
-    rows = docs.mapInArrow(run, "grade int, features binary").toArrow()
+    ids = chosen.select(F.col("doc_id").alias("rated_id"), "grade", "h")
+    docs = text_frame(df, id_col, text_col).join(F.broadcast(ids), F.col("doc_id") == F.col("rated_id")).select("h", "text", "grade")
+    each_id = docs.mapInArrow(run, "h long, grade int, features binary").groupBy("h", "grade").agg(F.min("features").alias("features"))
+    # At most ``most`` rows meet here.
+    so_far = F.sum(F.length("features")).over(W.orderBy("h", "features").rowsBetween(W.unboundedPreceding, 0))
+    rows = each_id.withColumn("bytes", so_far).where(F.col("bytes") <= most_bytes).select("grade", "features").toArrow()
     each = [np.frombuffer(x, "<i4") for x in rows["features"].to_pylist()]
     doc = np.repeat(np.arange(len(each)), [len(x) for x in each])
     order = sorted(range(len(each)), key=lambda k: (rows["grade"][k].as_py(), each[k].tobytes()))  # the same sum in the same order on each run
