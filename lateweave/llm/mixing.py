@@ -1,21 +1,25 @@
 """Mixing sources to target weights.
 
-Every document gets a hash-random key. Within a source, documents are ordered by key: the key's leading digits deal
+Every document gets a hash-random key of its id and text. Within a source, documents are ordered by key: the key's leading digits deal
 them out to ranges (equally full, as the key is a digest), each range sums its words, prefix sums over the ranges of a
 source and then within a range place every document, and the source is cut at its exact budget. A budget beyond the
-source's size repeats it in whole epochs. The order depends on nothing but (seed, doc_id), so reruns agree.
+source's size repeats it in whole epochs. The order depends on nothing but (seed, doc_id, text), so reruns agree.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, cut
 
-#: Hex digits of the key that make the range: 4096 ranges a source.
-DIGITS = 3
+BLANKS = r"[\x20\x09-\x0D]+"
+
+#: A range is the key's first hex digits: three (4096 ranges a source), more if a range had more rows than this.
+RANGE_ROWS = 1 << 21
 
 
 def word_count(text: Column) -> Column:
@@ -27,7 +31,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
     Sources in code point order, null last, take ``weights`` in turn and share ``share`` of all sizes. A target stops
     at ``most`` times its source's size and the excess goes to the others by weight, until none is above: with sources
-    by size over weight, the first ones are capped and all others get the same multiple of their weight.
+    by size over weight, the first ones are capped and all others get the same multiple of their weight. If all are
+    capped (``share`` of ``most`` or more), each has ``most`` times its size.
     """
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1, F.lit(len(weights))) + 1).cast("int")).cast("long")
     up = W.orderBy("ratio", F.col("source").asc_nulls_last())
@@ -37,7 +42,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     rest = F.lit(share) * F.sum("source_size").over(all_) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
     t = t.select("*", (rest / (F.sum("w").over(all_) - F.coalesce(F.sum("w").over(before), F.lit(0)))).alias("level"))
     level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct(F.col("ratio"), F.col("source").isNull(), F.col("source"), F.col("level")))).over(all_)["level"]
-    return t.select("source", "source_size", F.least("cap", F.coalesce(level, F.lit(0.0)) * F.col("w")).alias("target"))
+    return t.select("source", "source_size", F.least("cap", F.coalesce(level, F.lit(float("inf"))) * F.col("w")).alias("target"))
 
 
 def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, seed: int = 42, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -45,12 +50,15 @@ def mix(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5,
 
     taken is the number of the document's words in the mix, repeats counted; the document at a source's cut gives only
     the words up to it, so the words taken of a source are its target, rounded. Null and empty texts have size 0 and
-    give nothing. A null source is a source of its own, a null id hashes as ``null``. Rows that tie in key and size
-    share their places in any order. An empty table gives no row.
+    give nothing. A null source is a source of its own, a null id hashes as ``null``. The text is part of
+    the key, so rows of one id or of none spread over the ranges; rows that tie in id and text share their places in
+    any order. An empty table gives no row.
     """
-    key = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null"))).cast("binary"))
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    key = F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.md5(text)))
     docs = cut(df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").alias("source"), word_count(F.col(f"`{text_col}`")).alias("size"), key.alias("key")))
-    docs = docs.withColumn("range", F.substring("key", 1, DIGITS))
+    digits = max(3, math.ceil(math.log(max(1, docs.count()) / RANGE_ROWS, 16)))
+    docs = docs.withColumn("range", F.substring("key", 1, digits))
     ranges = docs.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     per_source = targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, share, most)
     so_far = F.coalesce(F.sum("range_size").over(W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -84,6 +92,11 @@ def mixed(df: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     part = F.expr(f"cast(if(__place = ({rest}) div __size + 1, ({rest}) % __size, 0) as int)")
     copies = F.concat(F.array_repeat(F.lit(0), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<int>")))
     out = placed.withColumn("__part", F.explode(copies))
-    words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    cut_text = F.when(F.col("__part") == 0, text).otherwise(F.array_join(F.slice(words, 1, F.greatest(F.col("__part"), F.lit(1))), " "))
-    return out.withColumn(text_col, cut_text).select(*(F.col(f"`{c}`") for c in df.columns))
+    return out.withColumn(text_col, F.when(F.col("__part") == 0, text).otherwise(first_words(text, F.col("__part")))).select(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def first_words(text: Column, n: Column) -> Column:
+    """``text`` up to the end of its n-th word, blanks as they are; it has more than n words, and n is at least 1."""
+    # Split after n words (one piece more if blanks lead), the last piece is what follows.
+    after = F.element_at(F.split(text, BLANKS, n + 1 + F.regexp_like(text, F.lit(f"^{BLANKS}")).cast("int")), -1)
+    return F.regexp_replace(F.left(text, F.length(text) - F.length(after)), f"{BLANKS}$", "")

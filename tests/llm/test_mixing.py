@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 sys.path.insert(0, str(Path(__file__).parent.parent))
@@ -46,6 +47,22 @@ def test_targets(spark, sizes):
     assert got == pytest.approx(filled(sizes))
 
 
+def test_all_sources_capped(spark):
+    df = documents(spark, [(k, prose(k, 10), "en", "ab"[k % 2]) for k in range(8)] + [(9, None, "en", None)])
+    for share in (2.0, 3.0):
+        rows = mixing.mix(df, share=share, most=2.0).collect()
+        assert all(r["target"] == 2 * r["source_size"] and r["taken"] == 2 * r["size"] for r in rows)
+    assert sum(r["taken"] for r in rows) == 160
+
+
+def test_cut_texts_keep_their_blanks(spark):
+    texts = ["a\n\nb\tc d\ne", "  a\x0b b  c", "x y", "\ta b"]
+    df = spark.createDataFrame([(t, n) for t in texts for n in range(1, SIZE(t))], "t string, n int")
+    for r in df.select("t", "n", mixing.first_words(F.col("t"), F.col("n")).alias("got")).collect():
+        want = re.match(r"[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]+[\x20\x09-\x0D]*){%d}" % r["n"], r["t"]).group().rstrip(" \t\n\x0b\x0c\r")
+        assert r["got"] == want
+
+
 def test_budgets_and_reruns(spark, folder):
     df = spark.read.parquet(f"{folder}/documents.parquet")
     rows = mixing.mix(df).collect()
