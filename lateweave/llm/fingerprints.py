@@ -97,7 +97,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """part, ghost, doc_id, text: the rows dealt to ranges of descending ids (null last) and sorted there, each range
     followed by a ghost of the row that comes next; after the last range, the first row of all.
 
-    Only ids are read to find the ranges; one id for each range goes to the driver and back. Texts are shuffled once.
+    A range is a task. Only ids are read to find the ranges; one id for each range goes to the driver and back. Texts are shuffled once.
     """
     spark = df.sparkSession
     docs = text_frame(df, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -112,7 +112,7 @@ def with_next(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     ghosts = spark.createDataFrame(follow, "head long, part int")
     ghost_rows = docs.drop("part").join(F.broadcast(ghosts), F.col("doc_id").eqNullSafe(F.col("head"))).select("part", F.lit(True).alias("ghost"), "doc_id", "text")
     every = docs.select("part", F.lit(False).alias("ghost"), "doc_id", "text").union(ghost_rows)
-    return every.repartition(n, "part").sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), "text")
+    return every.repartitionById(len(splits) + 2, "part").sortWithinPartitions("part", "ghost", F.col("doc_id").desc_nulls_last(), "text")
 
 
 def compared(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, block: int = 1 << 20) -> DataFrame:
