@@ -6,14 +6,14 @@ hash. Equal windows have equal anchors at equal places, so a window can only rep
 (one shuffle of hashes finds those, about one for every 39 bytes), and it does repeat where two anchors agree on d
 bytes to the left and LENGTH - d to the right, d being the anchor's distance from the window's start. Hence:
 
-1. texts that repeat a whole earlier text are settled by digest;
+1. texts that repeat a whole earlier text are settled by their SHA-256;
 2. anchors whose gram occurs once are dropped;
 3. what stands right of each other anchor, and (reversed) left of it, goes out as sorted, front-coded runs, dealt by gram;
 4. runs are merged by loser trees that keep each head's common prefix with the last output: heads compare by that
    length alone, or from that byte on, and never over bytes known to be equal;
 5. the merge's prefix lengths cut both orders into classes; within equal classes the first window stays.
 
-Nothing is approximate: hashes only select candidates, bytes decide. Within a run, anchors with the same surroundings
+Hashes of grams only select candidates, for which bytes decide; whole texts are equal if their SHA-256 is. Within a run, anchors with the same surroundings
 are folded into the first, which bounds what a frequent passage sends.
 """
 
@@ -48,14 +48,14 @@ def anchors(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     sums = prefix_hashes(buf)
     start = np.arange(n - GRAM + 1)
     h = span_hashes(sums, start, start + GRAM)
-    bits = max(22, int(n).bit_length())
-    low = (h >> U64(bits) << U64(bits)) | start.astype(U64)
+    # The hash's upper half and the place: the same choice in a block of any size.
+    low = (h >> U64(32) << U64(32)) | start.astype(U64)
     width = 1
     while 2 * width <= SIDE + 1:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     low = np.minimum(low[: len(low) - (SIDE + 1 - width)], low[SIDE + 1 - width :])
-    place = (low & U64((1 << bits) - 1)).astype(np.int64)  # by window start
+    place = (low & U64((1 << 32) - 1)).astype(np.int64)  # by window start
     doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(place)]
     whole = np.arange(len(place)) + LENGTH <= at[doc + 1]
     s = np.flatnonzero(whole)
@@ -207,8 +207,10 @@ def _unpack(data: bytes, parts: int) -> list[bytes]:
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of (route, key, at), at being twice the place and 1 more if the gram is sure to repeat, which it is if the
     block holds it several times. Its first anchor then goes where grams are counted, for the sake of other blocks, its
-    others each by a route of its own. So however frequent a gram is, where it is counted there is one row of it a
-    block. Routes are 48 bits: where two grams share one, both are candidates."""
+    others each by a route of its own, and so do all anchors of that gram in later blocks of the task. So however
+    frequent a gram is, where it is counted there are a few rows of it a task. Routes are 48 bits: where two grams share
+    one, both are candidates."""
+    known = np.zeros(0, np.int64)  # grams that are sure to repeat, sorted
     for batch, buf, at in blocks(batches):
         doc, place, gram, _, _ = anchors(buf, at)
         key, place = batch.column(0).to_numpy()[doc], place - at[doc]
@@ -217,6 +219,9 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later, sure = np.zeros(len(gram), bool), np.zeros(len(gram), bool)
         later[order[1:][same]] = True
         sure[order[1:][same]] = sure[order[:-1][same]] = True
+        before = known[np.minimum(np.searchsorted(known, gram), len(known) - 1)] == gram if len(known) else np.zeros(len(gram), bool)
+        known = np.union1d(known, gram[sure & ~before])
+        later, sure = later | before, sure | before
         own = mix(mix(key.view(U64) + U64(1)) + place.view(U64)).view(np.int64)
         route = np.where(later, own, gram) & ((1 << 48) - 1)
         yield pa.RecordBatch.from_arrays([pa.array(route), pa.array(key), pa.array(2 * place + sure)], ["route", "key", "at"])
@@ -334,7 +339,7 @@ def _marked(df: DataFrame, id_col: str, text_col: str, rows: bool) -> DataFrame:
     spark = df.sparkSession
     n = partitions(spark)
     docs = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
-    digest = lambda text: F.md5(F.encode(text, "utf-8"))
+    digest = lambda text: F.unhex(F.sha2(F.encode(text, "utf-8"), 256))
     keys = cut(docs.select("doc_id", digest(F.col("text")).alias("digest"), (F.octet_length("text") >= LENGTH).alias("long")))
     counts = keys.agg(F.count("*").alias("rows"), F.count("doc_id").alias("named")).first()
     unique = counts["rows"] == counts["named"] and keys.groupBy("doc_id").count().where("count > 1").isEmpty()
@@ -344,9 +349,8 @@ def _marked(df: DataFrame, id_col: str, text_col: str, rows: bool) -> DataFrame:
         base = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text").repartition(n, "key")
     else:
         numbers = _numbers(keys)
-        on = lambda i, t: i.cast("long").eqNullSafe(F.col("i")) & (digest(F.coalesce(t, F.lit(""))) == F.col("g"))
         of = keys.join(numbers, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("g"))).select("key", "digest", "long")
-        base = docs.join(numbers, on(F.col("doc_id"), F.col("text"))).where("key is not null").select("key", "doc_id", "text").repartition(n, "key")
+        base = docs.join(numbers, F.col("doc_id").eqNullSafe(F.col("i")) & (digest(F.col("text")) == F.col("g"))).where("key is not null").select("key", "doc_id", "text").repartition(n, "key")
     # Kept, so that its join is one of two exchanges, whose large groups of copies Spark can split.
     firsts = cut(of.where("long").groupBy("digest").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1"))
     copies = cut(of.join(firsts, "digest").where("key > first").select(F.col("key").alias("copy")).distinct())
@@ -367,7 +371,9 @@ def _marked(df: DataFrame, id_col: str, text_col: str, rows: bool) -> DataFrame:
         if unique:
             left = df.withColumn("__key", F.col(f"`{id_col}`").cast("long"))
         else:
-            left = df.join(numbers, on(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))).select(*all_, F.col("key").alias("__key"))
+            named = numbers.toDF("__i", "__g", "__key")  # no column of df
+            own, text = F.col(f"`{id_col}`").cast("long"), F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+            left = df.join(named, own.eqNullSafe(F.col("__i")) & (digest(text) == F.col("__g"))).select(*all_, "__key")
     else:
         left = base.withColumnRenamed("key", "__key")
         all_ = [F.col("__key" if unique else "doc_id").alias("doc_id"), F.col("text")]

@@ -124,7 +124,7 @@ def removed(rows: list[tuple[int | None, str | None]], length: int = 100) -> dic
     """(doc_id, text) to (bytes, removed, spans, digest), by a set of all substrings. Equal rows are one document."""
     def rank(r):
         data = (r[1] or "").encode()
-        return (r[0] is None, r[0] or 0, hashlib.md5(data).hexdigest())
+        return (r[0] is None, r[0] or 0, hashlib.sha256(data).hexdigest())
 
     seen, out = set(), {}
     for i, text in sorted(set(rows), key=rank):
@@ -215,6 +215,29 @@ def test_loser_tree_merge(texts, runs):
         assert a[:n] == b[:n] and (n == width or a[n] != b[n])
 
 
+def test_anchors_do_not_depend_on_the_block():
+    """The same text in a block of 1 MB and in one of 9 MB."""
+    rng = np.random.default_rng(4)
+    text = rng.integers(97, 101, 1 << 20).astype(np.uint8).tobytes().decode()
+    other = rng.integers(97, 123, 8 << 20).astype(np.uint8).tobytes().decode()
+    small = suffix_dedup.anchors(*raw(pa.array([text], pa.large_string())))
+    doc, place, *rest = suffix_dedup.anchors(*raw(pa.array([other, text], pa.large_string())))
+    mine = doc == 1
+    assert (place[mine] - len(other) == small[1]).all() and all((a[mine] == b).all() for a, b in zip(rest, small[2:], strict=True))
+
+
+def test_frequent_grams_over_blocks(spark, monkeypatch):
+    """A passage in every block of a task: after the first, its anchors are dealt by routes of their own."""
+    from lateweave.llm.common import blocks
+
+    monkeypatch.setattr(suffix_dedup, "blocks", lambda batches: blocks(batches, most=2000))
+    line, rows = prose(9, 60), [(k, f"{prose(k, 20)} {prose(9, 60)} {prose(9, 60)}") for k in range(40)]
+    batch = pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows]), pa.array([t for _, t in rows])], ["key", "text"])
+    got = pa.Table.from_batches(suffix_dedup._candidates(iter([batch]))).to_pandas()
+    assert len(line) > 100 and got.groupby("route").size().max() <= 5 and (got["at"] % 2 == 1).sum() > 400
+    check(spark, rows)
+
+
 def test_anchors_of_equal_windows_are_equal():
     rng = np.random.default_rng(0)
     data = rng.integers(97, 123, 600).astype(np.uint8).tobytes().decode()
