@@ -78,61 +78,121 @@ def store(data: bytes) -> bytes:
     return avi([frame(padded[k : k + step]) for k in range(0, len(padded), step)], 8 * min(FRAME, len(padded) // UNIT), 8)
 
 
+def _parts(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
+    """Name, start and end of the content of each chunk of a stretch; a list's name is its type, after ``LIST``'s."""
+    while at + 8 <= min(end, len(data)):
+        name, size = struct.unpack_from("<4sI", data, at)
+        if name in (b"LIST", b"RIFF"):
+            yield name + data[at + 8 : at + 12], at + 12, min(end, at + 8 + size)
+        else:
+            yield name, at + 8, at + 8 + size
+        at += 8 + size + size % 2
+
+
+def _indexed(data: bytes, at: int) -> list[tuple[int, int]]:
+    """(offset, size) of the chunks that an OpenDML index names, itself or over the indexes it names."""
+    _, _, kind, n, _ = struct.unpack_from("<HBBI4s", data, at)
+    if kind == 0:
+        each = [struct.unpack_from("<QII", data, at + 24 + 16 * k)[0] for k in range(n)]
+        return [x for o in each for x in _indexed(data, o + 8)]
+    base = struct.unpack_from("<Q", data, at + 12)[0]
+    entries = [struct.unpack_from("<II", data, at + 24 + 8 * k) for k in range(n)]
+    return [(base + o, size & 0x7FFFFFFF) for o, size in entries]
+
+
 def chunks(data: bytes) -> tuple[list[tuple[int, int]], int]:
-    """(offset, size) of every video chunk, and frames a second times 1000, from the headers and the index.
+    """(offset, size) of every chunk of the first video stream, and frames a second times 1000.
 
-    Index offsets may count from the file's start or from ``movi``; without an index the movi list is walked.
+    From the stream's OpenDML index if it has one; else, in a file of one RIFF, from idx1, whose offsets may count from
+    the file's start or from ``movi``; else the movi lists of all RIFFs are walked, with the ``rec`` lists in them.
     """
     if data[:4] != b"RIFF" or data[8:12] != b"AVI ":
         raise ValueError("not an AVI file")
-    found: dict[bytes, tuple[int, int]] = {}
-    rate, todo = 0, [(12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0]))]
+    rate, kinds, movies, idx1, supers, riffs = 0, [], [], None, {}, 0
+    todo = [x for x in _parts(data, 0, len(data)) if x[0] in (b"RIFFAVI ", b"RIFFAVIX")]
+    riffs = len(todo)
     while todo:
-        at, end = todo.pop()
-        while at + 8 <= end:
-            name, size = struct.unpack_from("<4sI", data, at)
-            if name == b"LIST" and data[at + 8 : at + 12] != b"movi":
-                todo.append((at + 12, at + 8 + size))
-            elif name == b"LIST":
-                found[b"movi"] = (at + 8, at + 8 + size)
+        _, start, end = todo.pop(0)
+        for name, a, b in _parts(data, start, end):
+            if name == b"LISTmovi":
+                movies.append((a, b))
+            elif name[:4] == b"LIST":
+                todo.append((name, a, b))
             elif name == b"avih":
-                us = struct.unpack_from("<I", data, at + 8)[0]
+                us = struct.unpack_from("<I", data, a)[0]
                 rate = round(1e9 / us) if us else 0
+            elif name == b"strh":
+                kinds.append(data[a : a + 4])
+            elif name == b"indx" and kinds:
+                supers[len(kinds) - 1] = a
             elif name == b"idx1":
-                found[name] = (at + 8, min(len(data), at + 8 + size))
-            at += 8 + size + size % 2
-    if b"movi" not in found:
+                idx1 = (a, min(len(data), b))
+    if not movies:
         raise ValueError("no movi list")
-    movi, end = found[b"movi"]
-    out = []
-    if b"idx1" in found:
-        a, b = found[b"idx1"]
-        entries = [struct.unpack_from("<4sIII", data, k) for k in range(a, b - 15, 16)]
-        base = 0 if entries and data[entries[0][2] : entries[0][2] + 4] == entries[0][0] else movi
-        out = [(base + o + 8, n) for name, _, o, n in entries if name[2:] in (b"dc", b"db")]
-    else:
-        at = movi + 4
-        while at + 8 <= min(end, len(data)):
-            name, size = struct.unpack_from("<4sI", data, at)
-            if name[2:] in (b"dc", b"db"):
-                out.append((at + 8, size))
-            at += 8 + size + size % 2
-    return out, rate
-
-
-def _std(bits: str, values: str) -> tuple[bytes, bytes]:
-    return bytes.fromhex(bits), bytes.fromhex(values)
-
-
-def _runs(*rows: tuple[int, int, int]) -> str:
-    return "".join(f"{h:x}{k:x}" for h, a, b in rows for k in range(a, b + 1))
+    stream = kinds.index(b"vids") if b"vids" in kinds else 0
+    wanted = lambda name: name in (b"%02ddc" % stream, b"%02ddb" % stream)
+    if stream in supers and (out := _indexed(data, supers[stream])):
+        return out, rate
+    if idx1 and riffs == 1:
+        entries = [struct.unpack_from("<4sIII", data, k) for k in range(idx1[0], idx1[1] - 15, 16)]
+        base = 0 if entries and data[entries[0][2] : entries[0][2] + 4] == entries[0][0] else movies[0][0] - 4
+        return [(base + o + 8, n) for name, _, o, n in entries if wanted(name)], rate
+    out, todo = [], [*movies]
+    while todo:
+        for name, a, b in _parts(data, *todo.pop(0)):
+            if name == b"LISTrec ":
+                todo.append((a, b))
+            elif wanted(name):
+                out.append((a, b - a))
+    return sorted(out), rate
 
 
+# The standard Huffman tables of baseline JPEG, as code counts by length and symbols, by class and id.
 STANDARD = {
-    0x00: _std("00010501010101010100000000000000", "".join(f"{k:02x}" for k in range(12))),
-    0x01: _std("00030101010101010101010000000000", "".join(f"{k:02x}" for k in range(12))),
-    0x10: _std("0002010303020403050504040000017d", "01020300041105122131410613516107227114328191a1082342b1c11552d1f02433627282090a" + _runs((1, 6, 10), (2, 5, 10), (3, 4, 10), *((h, 3, 10) for h in range(4, 9)), *((h, 2, 10) for h in range(9, 14)), (14, 1, 10), (15, 1, 10))),
-    0x11: _std("00020102040403040705040400010277", "000102031104052131061241510761711322328108144291a1b1c109233352f0156272d10a162434e125f1" + _runs((1, 7, 10), (2, 6, 10), (3, 5, 10), *((h, 3, 10) for h in range(4, 8)), *((h, 2, 10) for h in range(8, 16)))),
+    0x00: (
+        bytes.fromhex("00 01 05 01 01 01 01 01 01 00 00 00 00 00 00 00"),
+        bytes.fromhex(
+            "00 01 02 03 04 05 06 07 08 09 0a 0b "
+        ),
+    ),
+    0x01: (
+        bytes.fromhex("00 03 01 01 01 01 01 01 01 01 01 00 00 00 00 00"),
+        bytes.fromhex(
+            "00 01 02 03 04 05 06 07 08 09 0a 0b "
+        ),
+    ),
+    0x10: (
+        bytes.fromhex("00 02 01 03 03 02 04 03 05 05 04 04 00 00 01 7d"),
+        bytes.fromhex(
+            "01 02 03 00 04 11 05 12 21 31 41 06 13 51 61 07 "
+            "22 71 14 32 81 91 a1 08 23 42 b1 c1 15 52 d1 f0 "
+            "24 33 62 72 82 09 0a 16 17 18 19 1a 25 26 27 28 "
+            "29 2a 34 35 36 37 38 39 3a 43 44 45 46 47 48 49 "
+            "4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 69 "
+            "6a 73 74 75 76 77 78 79 7a 83 84 85 86 87 88 89 "
+            "8a 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 a6 a7 "
+            "a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 c4 c5 "
+            "c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da e1 e2 "
+            "e3 e4 e5 e6 e7 e8 e9 ea f1 f2 f3 f4 f5 f6 f7 f8 "
+            "f9 fa "
+        ),
+    ),
+    0x11: (
+        bytes.fromhex("00 02 01 02 04 04 03 04 07 05 04 04 00 01 02 77"),
+        bytes.fromhex(
+            "00 01 02 03 11 04 05 21 31 06 12 41 51 07 61 71 "
+            "13 22 32 81 08 14 42 91 a1 b1 c1 09 23 33 52 f0 "
+            "15 62 72 d1 0a 16 24 34 e1 25 f1 17 18 19 1a 26 "
+            "27 28 29 2a 35 36 37 38 39 3a 43 44 45 46 47 48 "
+            "49 4a 53 54 55 56 57 58 59 5a 63 64 65 66 67 68 "
+            "69 6a 73 74 75 76 77 78 79 7a 82 83 84 85 86 87 "
+            "88 89 8a 92 93 94 95 96 97 98 99 9a a2 a3 a4 a5 "
+            "a6 a7 a8 a9 aa b2 b3 b4 b5 b6 b7 b8 b9 ba c2 c3 "
+            "c4 c5 c6 c7 c8 c9 ca d2 d3 d4 d5 d6 d7 d8 d9 da "
+            "e2 e3 e4 e5 e6 e7 e8 e9 ea f2 f3 f4 f5 f6 f7 f8 "
+            "f9 fa "
+        ),
+    ),
 }
 
 
@@ -333,7 +393,8 @@ def media_of(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def payloads(df: DataFrame) -> DataFrame:
     """doc_id, n_bytes and what is read back from media: payload_bytes, payload_sha256, tail_crc32, media_bytes,
-    media_sha256, feature (frames, shots and a digest of histograms and clips)."""
+    media_sha256, feature (frames, shots and a digest of histograms and clips), n_frames, n_shots, mean_luma (to a
+    sixteenth of the scale) and shot_bounds (first and last frame of each shot). :func:`clips` gives a row a shot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,13 +404,15 @@ def payloads(df: DataFrame) -> DataFrame:
                     data = m.as_py()
                     payload, hist, found, rate = read(data)
                     seen = hashlib.sha256(np.rint(hist * 1e6).astype("<i8").tobytes() + repr((found, rate)).encode()).hexdigest()
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest(), f"frames={len(hist)};shots={len(found)};look={seen[:16]}"))
-                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+                    bounds, light = ",".join(f"{a}-{b - 1}" for a, b in found), float(hist.mean(0) @ (np.arange(hist.shape[1]) * 16 + 8))
+                    digests = hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(data), hashlib.sha256(data).hexdigest()
+                    rows.append((len(payload), *digests, f"frames={len(hist)};shots={len(found)};look={seen[:16]}", len(hist), len(found), light, bounds))
+                names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_frames", "n_shots", "mean_luma", "shot_bounds"]
+                kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *cols], ["doc_id", "n_bytes", *names])
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_shots long, mean_luma double, shot_bounds string"
     return df.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
