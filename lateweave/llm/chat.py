@@ -70,7 +70,7 @@ def formatted(df: DataFrame, tokenizer: str, conv_col: str = "conv_id", turn_col
     """conv_id, part, n_turns, ids, mask: each conversation's tokens and loss mask, in one row or, beyond about
     ``PART`` tokens, in consecutive rows of whole turns (so a conversation of any length takes bounded memory).
 
-    Turns stand in order of turn (null last), then role and text's hash; repeated rows are turns as well. Null roles and
+    Turns stand in order of turn (null last), then role and text's MD5; repeated rows are turns as well. Null roles and
     texts are empty; rows of a null conv_id are one conversation. Texts are encoded where they are read; only tokens
     are shuffled.
     """
@@ -127,7 +127,7 @@ def formatted(df: DataFrame, tokenizer: str, conv_col: str = "conv_id", turn_col
     turns = df.select(F.col(f"`{conv_col}`").cast("long").alias("conv_id"), F.col(f"`{turn_col}`").cast("long").alias("turn"), F.coalesce(F.col(f"`{role_col}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
     coded = turns.mapInArrow(encode, "conv_id long, turn long, role string, text string, ids array<int>, a int, b int")
     n = partitions(df.sparkSession)
-    coded = coded.select("conv_id", "turn", "role", F.xxhash64("text").alias("tie"), "ids", "a", "b")
+    coded = coded.select("conv_id", "turn", "role", F.md5("text").alias("tie"), "ids", "a", "b")
     ordered = coded.repartition(n, "conv_id").sortWithinPartitions("conv_id", F.col("turn").asc_nulls_last(), "role", "tie").select("conv_id", "ids", "a", "b")
     return ordered.mapInArrow(assemble, "conv_id long, part int, n_turns long, ids array<int>, mask array<tinyint>")
 

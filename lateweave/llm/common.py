@@ -6,7 +6,9 @@ longer document), so memory follows the longest document and not the partition.
 
 from __future__ import annotations
 
+import atexit
 import math
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -31,10 +33,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (``spark.checkpoint.dir``); a local one of our own only where none is set."""
+    """The folder all executors share (``spark.checkpoint.dir``). Where none is set a local master, whose executors are
+    this machine, gets a temporary one, which goes with the process; any other is an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lateweave-"))
+        top = spark.conf.get("spark.checkpoint.dir", None)
+        if not top:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            top = tempfile.mkdtemp(prefix="lateweave-")
+            atexit.register(shutil.rmtree, top, ignore_errors=True)
+        sc.setCheckpointDir(top)
     return sc._jsc.sc().getCheckpointDir().get()
 
 

@@ -28,7 +28,7 @@ from .tokens import encoder
 BLOCK = 8 << 20
 #: Sequences open from the start, as a share of the least number that the tokens could fill. More balance costs better,
 #: but leave gaps too small for what comes last.
-AHEAD = 0.97
+AHEAD = 0.95
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

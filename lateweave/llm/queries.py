@@ -10,14 +10,17 @@ from .common import table
 
 
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix of sources takes."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness."""
     return fingerprints.compared(table(spark, sf_dir, "documents"))
 
 
 def op3_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and probability of the top grade of every document, learnt from the rated ones."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade")))
     return quality.score(docs, model)
@@ -27,6 +30,7 @@ PROBE = "</s>[INST] ok [/INST]"
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from every formatted conversation and the probe."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", PROBE), (-1, 1, "assistant", PROBE)], "conv_id long, turn long, role string, text string")
     tokenizer = tokens.default_tokenizer()
@@ -34,11 +38,13 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every text."""
     found = tokens.token_counts(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
     return found.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learnt from those not held out."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out)
     found = langid.predict(docs, langid.train(docs.where(~F.col("held_out"))))
@@ -46,19 +52,23 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every text occurred before."""
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 1024 tokens."""
     return packing.packed(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
 
 
 def op9_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op10_media_avi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is read back from every text stored as motion JPEG."""
     return media.payloads(media.media_of(table(spark, sf_dir, "documents")))
 
 
@@ -78,7 +88,7 @@ QUERIES = {
 _MIXING = r"""
 with d as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint size,
-         md5('42|' || coalesce(doc_id::varchar, 'null')) key
+         md5('42|' || coalesce(doc_id::varchar, 'null') || '|' || md5(coalesce(text, ''))) key
   from documents),
 s as (select source, sum(size)::bigint source_size from d group by source),
 w as (select *, [3, 1, 2][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int] w from s),
@@ -86,7 +96,7 @@ r as (select *, 2.0::double * source_size cap, (2.0::double * source_size) / w r
 l as (select *, (1.5::double * sum(source_size) over () - coalesce(sum(cap) over up, 0))
                 / (sum(w) over () - coalesce(sum(w) over up, 0)) lvl
       from r window up as (order by ratio, source nulls last rows between unbounded preceding and 1 preceding)),
-f as (select coalesce((select lvl from l where lvl <= ratio order by ratio, source nulls last limit 1), 0)::double x),
+f as (select coalesce((select lvl from l where lvl <= ratio order by ratio, source nulls last limit 1), 'infinity'::double) x),
 t as (select source, source_size, least(cap, x * w)::double target from l, f),
 p as (
   select d.doc_id, d.size, t.source_size, t.target, floor(t.target + 0.5)::bigint budget,
@@ -116,9 +126,9 @@ e as (select *, length({_escaped("text")}) + case role when 'user' then {len("[I
                 when 'assistant' then {len("<|assistant|></s>")}
                 else {len("<|role|><|text|><|end|>")} + length({_escaped("role")}) end chars from t)
 select conv_id, count(*)::bigint n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) turns_sha256,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, md5(text))) turns_sha256,
        coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint loss_chars,
-       sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) loss_sha256,
+       sha256(coalesce(string_agg(text, '' order by turn, role, md5(text)) filter (role = 'assistant'), '')) loss_sha256,
        (sum(chars) + {len("<s>")})::bigint formatted_chars
 from e group by conv_id
 """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -23,6 +25,24 @@ def prose(seed: int, n: int) -> str:
     return " ".join(np.random.default_rng(seed).choice(WORDS, n))
 
 
+def finalised(h: int) -> int:
+    """The 64-bit finaliser of ``common.mix`` in whole numbers."""
+    h ^= h >> 33
+    h = h * 0xFF51AFD7ED558CCD % 2**64
+    h ^= h >> 33
+    h = h * 0xC4CEB9FE1A85EC53 % 2**64
+    return h ^ h >> 33
+
+
+_BYTES = [2 * int(x) + 1 for x in np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.int64)]
+
+
+@lru_cache(maxsize=None)
+def word_hash(word: bytes) -> int:
+    """The hash of a span of bytes, byte by byte."""
+    return finalised(sum(_BYTES[b] * pow(0x9E3779B97F4A7C15, k, 2**64) for k, b in enumerate(word)) % 2**64)
+
+
 def odd_rows() -> list[tuple]:
     long = prose(1, 60_000)
     return [

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import sys
 import zlib
@@ -16,7 +17,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
-from cases import documents, empty, odd, odd_rows, prose
+from cases import documents, empty, finalised, odd, odd_rows, prose, word_hash
 from test_dedup import removed
 from test_resemblance import stays
 from test_texts import check_packing
@@ -91,6 +92,50 @@ def test_quality_edges(spark):
     assert quality.select(docs, one).count() == 60
 
 
+def test_training_rows_are_bounded(spark, monkeypatch):
+    """Rows that repeat an id are one; beyond a number of documents or bytes the rest is left out."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda doc, feature, grade, grades: seen.append((grade, feature)))
+    docs = documents(spark, [(k % 30, prose(k % 30, 20), "en", "s") for k in range(3000)])
+    rated = docs.select("doc_id", F.when(F.col("doc_id") % 2 == 1, 2).otherwise(1).alias("grade")).distinct()
+    quality.train(docs, rated, most=10)
+    quality.train(docs.where("doc_id = 3"), rated, most=30)
+    quality.train(docs, rated, most=30, most_bytes=1000)
+    assert len(seen[0][0]) == 10 and len(seen[1][0]) == 1
+    assert 0 < len(seen[2][0]) < 30 and 4 * len(seen[2][1]) <= 1000
+
+
+def score_by_hand(model: quality.Ordinal, text: str | None) -> tuple[float, float]:
+    """Expected grade and probability of the top grade of one text, word by word."""
+    data = (text or "").encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+    words = [w for w in re.split(rb"[\x20\x09-\x0D]+", data) if w]
+    if not words:
+        return 0.0, 0.0
+    size, full = len(data), (text or "").encode()
+    count = lambda codes: sum(c in codes for c in full) / size
+    classes = [range(65, 91), b"!?", b"#$%&*@~^_|<>{}[]\\", b"0123456789", b"\n", b".,;:", range(128, 256)]
+    found = {word_hash(w) >> (64 - quality.BITS) for w in words}
+    shape = [count(set(c)) for c in classes]
+    shape += [len(found) / len(words), sum(map(len, words)) / len(words) / 20, np.log2(1 + len(words)) / 20, sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words)]
+    for k, s in enumerate(shape):
+        found.add(finalised(int(sum(x < s for x in quality.STEPS)) + 100 * (k + 1) + (1 << 40)) >> (64 - quality.BITS))
+    score = sum(float(model.weights[f]) for f in found)
+    above = [1 / (1 + np.exp(t - score)) for t in model.thresholds]
+    return sum(above), above[-1]
+
+
+def test_scores_of_all_documents(spark, folder):
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = quality.train(docs, labels.select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade")))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    rows = QUERIES["op3_quality_ordinal"](spark, folder).collect()
+    assert Counter(r["doc_id"] for r in rows) == Counter(text.keys())
+    for r in rows:
+        expected, top = score_by_hand(model, text[r["doc_id"]])
+        assert (r["expected_grade"], r["p_top"]) == pytest.approx((expected, top), abs=1e-6)
+        assert r["keep"] == (r["p_top"] >= 0.5)
+
+
 def test_same_model_on_each_run(spark, folder):
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
     rated = labels.select("doc_id", quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade"))
@@ -114,6 +159,15 @@ def test_payloads_of_all_documents(spark, folder):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(data), len(whole), hashlib.sha256(whole).hexdigest(), zlib.crc32(whole[-64:]))
         stored = media.store(data)
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+        # What is seen of the frames: a byte below 128 is a coefficient of b - 255, the first of 64 being the mean.
+        step, means = 4096, []
+        for k in range(0, len(whole), step):
+            c = np.frombuffer(whole[k : k + step], np.uint8).reshape(-1, 64).astype(int)
+            y = np.clip(np.rint((np.where(c < 128, c - 255, c) @ media.IDCT.astype(float)) + 128), 0, 255)
+            means.append(((y // 16) * 16 + 8).mean())
+        assert r["n_frames"] == len(means) and r["mean_luma"] == pytest.approx(np.mean(means), abs=0.05)
+        shots = [tuple(map(int, x.split("-"))) for x in r["shot_bounds"].split(",")]
+        assert len(shots) == r["n_shots"] and [x for a, b in shots for x in range(a, b + 1)] == list(range(r["n_frames"]))
     assert len({(r["payload_sha256"], r["feature"]) for r in rows}) == len({r["payload_sha256"] for r in rows})
 
 
@@ -172,6 +226,50 @@ def test_frames_of_standard_tables_and_shots(spark):
     assert {r["media_id"] for r in rows if r["error"]} == {3, 4, 5}
 
 
+def riff(name: bytes, body: bytes) -> bytes:
+    return name + struct.pack("<I", len(body)) + body + b"\0" * (len(body) % 2)
+
+
+def strl(kind: bytes, index: bytes = b"") -> bytes:
+    return riff(b"LIST", b"strl" + riff(b"strh", kind + bytes(52)) + (riff(b"indx", index) if index else b""))
+
+
+def test_frames_in_rec_lists_and_of_one_stream():
+    """No index; frames within ``rec`` lists; sound and a second video stream beside them."""
+    frames = [flat_jpeg([10 * k]) for k in range(1, 4)]
+    recs = b"".join(riff(b"LIST", b"rec " + riff(b"00wb", b"sound") + riff(b"01dc", f) + riff(b"02dc", b"other")) for f in frames)
+    head = riff(b"LIST", b"hdrl" + riff(b"avih", struct.pack("<14I", 40_000, *[0] * 13)) + strl(b"auds") + strl(b"vids") + strl(b"vids"))
+    film = riff(b"RIFF", b"AVI " + head + riff(b"LIST", b"movi" + recs))
+    where, rate = media.chunks(film)
+    assert [film[a : a + n] for a, n in where] == frames and rate == 25_000
+
+
+@pytest.mark.parametrize("indexed", [True, False])
+def test_frames_of_several_riffs(indexed):
+    """A second RIFF (AVIX), found over the stream's index of indexes or by walking both."""
+    frames = [flat_jpeg([10 * k]) for k in range(1, 6)]
+    def movi(some):
+        body = b"movi" + b"".join(riff(b"00dc", f) for f in some)
+        return riff(b"LIST", body)
+
+    def index(base: int, some: list[bytes]) -> bytes:
+        at, entries = 12, b""  # within the list: its head, then the chunks
+        for f in some:
+            entries += struct.pack("<II", at + 8, len(f) | 1 << 31)
+            at += len(riff(b"00dc", f))
+        return riff(b"ix00", struct.pack("<HBBI4sQI", 2, 0, 1, len(some), b"00dc", base, 0) + entries)
+
+    first, second = frames[:3], frames[3:]
+    build = lambda places: riff(b"LIST", b"hdrl" + strl(b"vids", struct.pack("<HBBI4s12x", 4, 0, 0, 2, b"00dc") + b"".join(struct.pack("<QII", p, 0, 0) for p in places) if indexed else b""))
+    a = 12 + len(build([0, 0]))  # place of the first movi list
+    ix_a = a + len(movi(first))
+    one = lambda places: riff(b"RIFF", b"AVI " + build(places) + movi(first) + (index(a, first) if indexed else b""))
+    b = len(one([0, 0])) + 12
+    ix_b = b + len(movi(second))
+    film = one([ix_a, ix_b]) + riff(b"RIFF", b"AVIX" + movi(second) + (index(b, second) if indexed else b""))
+    assert [film[o : o + n] for o, n in media.chunks(film)[0]] == frames
+
+
 def test_shots_adapt():
     still = np.eye(4)[[0, 0, 0, 1, 1, 1]]
     assert media.shots(still) == [(0, 3), (3, 6)]
@@ -265,6 +363,21 @@ def test_packing_stage(steps):
     assert used * 1024 - total < 1024 * after.rdd.getNumPartitions() + 1024 * 8
 
 
+@pytest.mark.parametrize("rows", ["odd", "empty"])
+def test_all_stages_on_odd_rows(spark, folder, rows):
+    """Every stage takes what the one before left, and nulls, repeats and clashing columns as they are."""
+    import corpus_pipeline
+
+    docs = {"odd": odd, "empty": empty}[rows](spark)
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, folder)
+        docs = spark.createDataFrame(docs.toArrow(), docs.schema)
+        assert name == "packing" or docs.columns == columns, name
+    if rows == "empty":
+        assert docs.isEmpty()
+
+
 def test_run_is_the_stages_in_turn(spark, folder, steps):
     import corpus_pipeline
 

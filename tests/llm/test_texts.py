@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import math
+import re
 import sys
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 sys.path.insert(0, str(Path(__file__).parent.parent))
-from cases import documents, empty, odd, odd_rows, prose
+from cases import documents, empty, finalised, odd, odd_rows, prose, word_hash
 from oracle import database, same
 
 from lateweave.llm import chat, fingerprints, langid, packing, tokens
@@ -40,8 +44,43 @@ def sha(x: str) -> str:
     return hashlib.sha256(x.encode()).hexdigest()
 
 
+def gamma(p: float) -> float:
+    """Where Gamma(2, 1) has the probability p below."""
+    low, high = 0.0, 40.0
+    for _ in range(60):
+        mid = (low + high) / 2
+        low, high = (mid, high) if 1 - (1 + mid) * math.exp(-mid) < p else (low, mid)
+    return low
+
+
+@lru_cache(maxsize=1 << 17)
+def steps(k: int) -> tuple[np.float32, np.float32]:
+    x = gamma((k + 0.5) / 65536)
+    return np.float32(x), np.float32(np.log(x))
+
+
+@lru_cache(maxsize=None)
+def word_samples(word: bytes, weight: int) -> list[tuple[np.float32, int]]:
+    """(rank, 16 bits kept) of a weighted word in every eighth slot."""
+    h, out, log_w = word_hash(word), [], np.log(weight).astype(np.float32)
+    for k in range(0, fingerprints.SLOTS, 8):
+        z = finalised(h ^ (0x9E3779B97F4A7C15 * (k + 1) + 42) % 2**64)
+        r, log_c = steps(z & 0xFFFF)[0], steps(z >> 16 & 0xFFFF)[1]
+        b = np.float32(z >> 32 & 0xFFFF) / np.float32(65536)
+        t = np.floor(log_w / r + b)
+        out.append((log_c - r * (t - b) - r, (z >> 48) ^ int(t) * 40503 & 0xFFFF))
+    return out
+
+
+@lru_cache(maxsize=None)
 def alone(text: str) -> np.ndarray:
-    return fingerprints.signatures(*raw(pa.array([text], pa.large_string())))[0]
+    """The samples of one text; every eighth of them is the one taken word by word, without arrays."""
+    lower = text.encode().translate(bytes(c + 32 if 65 <= c <= 90 else c for c in range(256)))
+    bag = Counter(w for w in re.split(rb"[\x20\x09-\x0D]+", lower) if w)
+    found = [word_samples(w, n) for w, n in bag.items()]
+    got = fingerprints.signatures(*raw(pa.array([text], pa.large_string())))[0]
+    assert got[::8].tolist() == [min(s[k] for s in found)[1] if found else 0 for k in range(fingerprints.SLOTS // 8)]
+    return got
 
 
 def hexed(sig: np.ndarray) -> str:
@@ -283,6 +322,87 @@ def test_viterbi(spark):
         assert got[13:] == got[:12]
 
 
+def words_of(text: str) -> list[str]:
+    kind = lambda c: unicodedata.category(c)[0]
+    runs, now = [], ""
+    for c in text + " ":
+        if kind(c) in "LM":
+            now += c
+        elif now:
+            runs.append(now)
+            now = ""
+    return [w for w in runs if any(kind(c) == "L" for c in w)]
+
+
+def gram_numbers(word: str) -> list[int]:
+    low = [ord(c.lower()) if unicodedata.category(c)[0] == "L" and len(c.lower()) == 1 else ord(c) for c in word]
+    out = []
+    for a, b, c in zip([1, *low], low, [*low[1:], 2], strict=False):
+        h = (a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32
+        out.append((((h ^ h >> 15) * 0x2C1B3C6D) % 2**32) >> 16)
+    return out
+
+
+def script_of(c: str) -> int:
+    c = c.lower() if len(c.lower()) == 1 else c
+    return [s for first, s in langid.SCRIPTS if first <= ord(c)][-1]
+
+
+def test_languages_of_all_documents(spark, folder):
+    """The query's rows from counts, scores and paths taken word by word."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").collect()
+    counts, scripts = defaultdict(Counter), defaultdict(Counter)
+    for r in docs:
+        if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1:
+            for w in words_of(r["text"]):
+                counts[r["lang"]].update(gram_numbers(w))
+                scripts[r["lang"]].update(script_of(c) for c in w)
+    langs = sorted({r["lang"] for r in docs if r["lang"] and r["text"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1})
+    total = {x: sum(counts[x].values()) + 0.5 * langid.GRAMS for x in langs}
+
+    @lru_cache(maxsize=None)
+    def scores(word: str) -> tuple[float, ...]:
+        each = [sum(float(np.float32(math.log((counts[x][g] + 0.5) / total[x]))) for g in gram_numbers(word)) for x in langs]
+        may = [scripts[x][script_of(word[0])] >= 0.001 * max(1, sum(scripts[x].values())) for x in langs]
+        if not any(may):
+            return tuple([0.0] * len(langs))
+        return tuple(s if m else min(each) - 100 for s, m in zip(each, may, strict=True))
+
+    got = {r["doc_id"]: r for r in QUERIES["op6_language_id"](spark, folder).collect()}
+    for r in docs:
+        words = words_of(r["text"] or "")
+        if not words:
+            assert (got[r["doc_id"]]["lang_pred"], got[r["doc_id"]]["score"]) == ("und", 0.0)
+            continue
+        value, back = list(scores(words[0])), []
+        for w in words[1:]:
+            top = max(range(len(langs)), key=lambda k: value[k])
+            came = [top if value[k] < value[top] - 8.0 else k for k in range(len(langs))]
+            value = [max(value[k], value[top] - 8.0) + s for k, s in enumerate(scores(w))]
+            back.append(came)
+        state = max(range(len(langs)), key=lambda k: value[k])
+        path = [state]
+        for came in reversed(back):
+            path.append(came[path[-1]])
+        letters = Counter()
+        for w, k in zip(words, reversed(path), strict=True):
+            letters[k] += len(w)
+        best = max(range(len(langs)), key=lambda k: (letters[k], -k))
+        assert got[r["doc_id"]]["lang_pred"] == langs[best]
+        assert got[r["doc_id"]]["score"] == pytest.approx(letters[best] / sum(letters.values()), abs=0.01)
+
+
+def test_many_languages_and_marks():
+    """300 languages, of which number 280 is best by far; vowel signs don't cut words, marks alone are none."""
+    logs = np.full((300, langid.GRAMS), -10.0, np.float32)
+    logs[280] = -1.0
+    model = langid.Model([f"l{k:03d}" for k in range(300)], logs, np.ones((langid.N_SCRIPTS, 300), bool))
+    b = langid.letters(*raw(pa.array(["some words of it", "हिन्दी भाषा", "\u0301 \u0301a", "\u0301"], pa.large_string())))
+    assert set(model.label(b).tolist()) == {280}
+    assert np.bincount(b.doc, minlength=4).tolist() == [4, 2, 1, 0]
+    assert langid._decide(model, b, 4)[0] == ["l280", "l280", "l280", "und"]
+
+
 def test_language_edges(spark):
     model = langid.train(two_languages(spark))
     got = langid.predict(odd(spark), model).collect()
@@ -321,6 +441,17 @@ def test_probe_is_escaped_and_masked(spark):
     assert back[8]["turns_sha256"] == sha("\nx\n")
 
 
+def test_ties_of_turns_are_as_sql_has_them(spark, tmp_path):
+    rows = [(1, 0, "user", t) for t in ("b", "a", "c", "a")] + [(1, None, None, None), (2, 0, "tool", "x"), (2, 0, "assistant", "</s>")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    df.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    import duckdb
+
+    db = duckdb.connect()
+    db.execute(f"create view conversations as select * from read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    same(QUERIES["op4_chat_format"](spark, str(tmp_path)).toArrow(), db.execute(ORACLES["op4_chat_format"]).to_arrow_table())
+
+
 def test_long_conversations_are_cut_between_turns(spark, monkeypatch):
     kind = tokens.default_tokenizer()
     rows = [(1, k, ("user", "assistant")[k % 2], prose(k, 9000)) for k in range(30)] + [(None, 0, "user", "y"), (None, None, "assistant", "z")]
