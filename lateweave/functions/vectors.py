@@ -6,6 +6,7 @@ import math
 from collections.abc import Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -97,11 +98,26 @@ def broadcast_if(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
     return F.broadcast(df) if rows * bytes_per_row <= BROADCAST_BYTES else df
 
 
+def checked_local(df: DataFrame, bytes_per_row: int) -> tuple[DataFrame, bool]:
+    """``df`` computed once, and True, if it turns out to be small enough; else as it was, and False."""
+    most = BROADCAST_BYTES // bytes_per_row
+    rows = df.limit(most + 1).toArrow()
+    return (df.sparkSession.createDataFrame(rows, df.schema), True) if rows.num_rows <= most else (df, False)
+
+
 def checked_broadcast(df: DataFrame, bytes_per_row: int) -> DataFrame:
     """``df`` for broadcasting if it turns out to be small enough: then it has been computed, once; else as it was."""
+    found, small = checked_local(df, bytes_per_row)
+    return F.broadcast(found) if small else found
+
+
+def checked_rows(df: DataFrame, bytes_per_row: int) -> pa.Table:
+    """The rows of a stated small set on the driver; more than fit is an error, not a risk."""
     most = BROADCAST_BYTES // bytes_per_row
     rows = df.limit(most + 1).toArrow()
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)) if rows.num_rows <= most else df
+    if rows.num_rows > most:
+        raise ValueError(f"more than {most} rows on the query side; split the query set")
+    return rows
 
 
 def ranges_below(value: Column, splits: Sequence, kind: str = "double") -> Column:

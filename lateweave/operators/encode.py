@@ -17,14 +17,17 @@ from ..plans.config import Encoding, FdeConfig, Fill, count_sketch, target_bits
 from .partition import by_centers, partitioned
 
 
-def blocks(tokens: DataFrame, cfg: FdeConfig, id_col: str = "doc_id") -> DataFrame:
+def blocks(tokens: DataFrame, cfg: FdeConfig, id_col: str = "doc_id", together: bool = False) -> DataFrame:
     """id, rep, part, cnt, vec of every bag. Filled partitions have cnt 0. A bag without tokens has no row.
 
+    together: tokens are dealt out by bag, once. All blocks of a bag then are in one task, where its scores add up and
+    compete without another shuffle; for bags of the length that encoders give. Else a bag of any size spreads.
+
     Tokens with equal bits are combined first. Only where partitions are filled, what a repetition of a bag has (at
     most one entry per partition) is then brought together.
     """
     keys = [id_col, "rep"]
-    t = partitioned(tokens, cfg, id_col)
+    t = partitioned(tokens.repartition(id_col) if together else tokens, cfg, id_col)
     how = "sum" if cfg.encoding is Encoding.SUM else "avg"
     if cfg.fill is Fill.NONE:
         return t.groupBy(*keys, "part").agg(F.count("*").alias("cnt"), elementwise(how, "x", cfg.width).alias("vec"))
@@ -55,11 +58,11 @@ def ablated_blocks(tokens: DataFrame, cfg: FdeConfig, settings: list[tuple[int,
     """run, id, rep, part, cnt, vec for settings (run, forced bit or None, value), from one pass over the tokens.
 
     A forced bit maps the bits of a token to another partition, so tokens of equal bits are combined once and only their
-    sums are dealt out to the settings. Empty partitions stay empty.
+    sums are dealt out to the settings. Empty partitions stay empty. Tokens are dealt out by bag, once.
     """
     if cfg.fill is not Fill.NONE:
         raise ValueError("filled encodings are ablated one setting at a time")
-    t = partitioned(tokens, cfg, id_col)
+    t = partitioned(tokens.repartition(id_col), cfg, id_col)
     alike = t.groupBy(id_col, "rep", "raw").agg(F.count("*").alias("n"), elementwise("sum", "x", cfg.width).alias("total"))
     raw = F.col("raw")
     codes = [F.struct(F.lit(run).alias("run"), parities(raw if bit is None else with_bit(raw, cfg.bits, bit, value)).cast("int").alias("part")) for run, bit, value in settings]

@@ -39,7 +39,7 @@ def bit_ablation(tokens: DataFrame, qtokens: DataFrame, qrels: DataFrame, cfg: F
     if cfg.fill is Fill.NONE:
         found = fde_scores(q, ablated_blocks(tokens, cfg, runs), cfg.width, by=("run",))
     else:
-        found = _union([fde_scores(q, blocks(tokens, replace(cfg, forced_bit=b, forced_value=v)).withColumn("run", F.lit(run)), cfg.width, by=("run",)) for run, b, v in runs])
+        found = _union([fde_scores(q, blocks(tokens, replace(cfg, forced_bit=b, forced_value=v), together=True).withColumn("run", F.lit(run)), cfg.width, by=("run",)) for run, b, v in runs])
     ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("run", "qid").orderBy(F.desc("score"), "doc_id")).cast("long")).where(F.col("rank") <= k)
     got = labelled_metrics(ranked, qrels, "run", [r for r, _, _ in runs], k)
     # A row for each setting: the full encoding's figures reach the others without computing anything twice.
@@ -90,6 +90,6 @@ def grid(tokens: DataFrame, qtokens: DataFrame, qrels: DataFrame, configs: dict[
     """setting, recall, ndcg of several encodings, one plan for all."""
     runs = []
     for name, cfg in configs.items():
-        found = fde_scores(blocks(qtokens, cfg.query(), "qid"), blocks(tokens, cfg.document()), cfg.width)
+        found = fde_scores(blocks(qtokens, cfg.query(), "qid"), blocks(tokens, cfg.document(), together=True), cfg.width)
         runs.append(topk(found, k).withColumn("setting", F.lit(name)))
     return labelled_metrics(_union(runs), qrels, "setting", list(configs), k)

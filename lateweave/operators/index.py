@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import BROADCAST_BYTES, dot, doubles, literal, norm, ranges_below, sign_bits
-from ..plans.config import FdeConfig, gray_decode, lsh_planes
+from ..functions.shared import kept
+from ..functions.vectors import BROADCAST_BYTES, checked_broadcast, dot, doubles, literal, norm, ranges_below, sign_bits
+from ..plans.config import FdeConfig, gray_decode, kmeans_sample_ratio, lsh_planes, memory_sample_ratio
 from .search import fde_scores, topk
 
+#: Lists that one search may name in its filter.
+MOST_LISTS = 10_000
+
 
 # Inverted lists: list centers are blocks(qid = list, rep, part, vec) like queries, so that assigning is scoring
 
@@ -27,10 +31,7 @@ def probe_lists(queries: DataFrame, centers: DataFrame, width: int, nprobe: int)
 
 
 def ivf_search(queries: DataFrame, docs: DataFrame, lists: DataFrame, probes: DataFrame, width: int, k: int) -> DataFrame:
-    """qid, doc_id, score, rank: the k best of the documents in the probed lists.
-
-    lists(doc_id, list_id) may come from a table partitioned by list_id, which the join with probes then prunes.
-    """
+    """qid, doc_id, score, rank: the k best of the documents in the probed lists(doc_id, list_id)."""
     wanted = lists.join(probes, "list_id").select("qid", "doc_id")
     q = queries.select("qid", "rep", "part", F.col("vec").alias("q_vec"))
     met = docs.join(wanted, "doc_id").join(q, ["qid", "rep", "part"])
@@ -39,6 +40,22 @@ def ivf_search(queries: DataFrame, docs: DataFrame, lists: DataFrame, probes: Da
     return topk(every, k)
 
 
+def stored_search(queries: DataFrame, postings: DataFrame, probes: DataFrame, width: int, k: int) -> DataFrame:
+    """qid, doc_id, score, rank as :func:`ivf_search`, from postings(list_id, doc_id, rep, part, vec): the encodings
+    themselves, stored by list (``store.save_lists``). Only the folders of probed lists are read, of which there are at
+    most ``MOST_LISTS``; a document's blocks lie in one list, so its scores add up from one folder.
+    """
+    named = [r[0] for r in probes.select("list_id").distinct().limit(MOST_LISTS + 1).collect()]
+    if len(named) > MOST_LISTS:
+        raise ValueError(f"more than {MOST_LISTS} lists probed; split the query set")
+    read = postings.where(F.col("list_id").isin(named)) if named else postings.limit(0)
+    wanted = checked_broadcast(probes.select(F.col("list_id").alias("p_list"), F.col("qid").alias("p_qid")), 16)
+    q = checked_broadcast(queries.select("qid", F.col("rep").alias("q_rep"), F.col("part").alias("q_part"), F.col("vec").alias("q_vec")), 32 + 8 * width)
+    met = read.join(wanted, F.col("list_id") == F.col("p_list")).join(q, (F.col("p_qid") == F.col("qid")) & (F.col("rep") == F.col("q_rep")) & (F.col("part") == F.col("q_part")), "left")
+    scores = met.groupBy(F.col("p_qid").alias("qid"), "doc_id").agg(F.sum(F.coalesce(dot(F.col("vec"), F.col("q_vec")), F.lit(0.0))).alias("score"))
+    return topk(scores, k)
+
+
 def hashed_share(df: DataFrame, share: float, seed: int, *by: str) -> DataFrame:
     """About ``share`` of the rows, the same ones on each run: a filter by the hash of their keys, without a shuffle."""
     return df if share >= 1 else df.where(F.pmod(F.xxhash64(F.lit(seed), *by), F.lit(1 << 24)) < int(share * (1 << 24)))
@@ -64,16 +81,19 @@ def train_lists(dense: DataFrame, cfg: FdeConfig, lists: int, seed: int = 42, sa
 # Learnt centers for partitions
 
 
-def train_centers(tokens: DataFrame, cfg: FdeConfig, ratio: float = 0.2, seed: int | None = None) -> np.ndarray:
+def train_centers(tokens: DataFrame, cfg: FdeConfig, ratio: float | None = None, seed: int | None = None, memory_gb: float = 2.0) -> np.ndarray:
     """[reps, partitions, dimension] centers by k-means, each repetition on its own sample of tokens.
 
-    The sample is about a share ``ratio`` of the tokens, about two per center at least; it stays distributed.
+    The sample is about a share ``ratio`` of the tokens, about two per center at least; it stays distributed. Without
+    a ratio it grows with the number of partitions, as far as points and centers fit ``memory_gb``.
     """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     base = cfg.seed if seed is None else seed
     n = max(1, tokens.count())
+    if ratio is None:
+        ratio = min(kmeans_sample_ratio(cfg.bits), memory_sample_ratio(n, cfg.dimension, cfg.partitions, memory_gb, 1))
     share = max(ratio, 2 * cfg.partitions / n)
     out = []
     for r in range(cfg.reps):
@@ -92,7 +112,7 @@ def train_pca(tokens: DataFrame, cfg: FdeConfig, axes: int = 20) -> tuple[np.nda
     The second moments of all tokens are summed by Spark; the driver gets dimension^2 numbers. A partition's center
     lies half a deviation above or below the median of each of the first ``bits`` axes, by the bits its number decodes
     to. Axes are those of largest variance, signs such that the largest entry of each is positive. Projecting doesn't
-    subtract the mean; centers are of projections that do. All repetitions are alike.
+    subtract the mean; centers are of projections that do. Medians are exact. All repetitions are alike.
     """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector
@@ -104,16 +124,34 @@ def train_pca(tokens: DataFrame, cfg: FdeConfig, axes: int = 20) -> tuple[np.nda
     parts *= np.sign(parts[np.arange(len(parts)), np.abs(parts).argmax(1)])[:, None]
     used = min(cfg.bits, axes)
     projected = [dot(literal(parts[k]), vec).alias(f"a{k}") for k in range(used)]
-    stats = tokens.select(*projected).agg(*(f(F.col(f"a{k}")) for k in range(used) for f in (lambda c: F.percentile_approx(c, 0.5, 10_000), F.stddev_pop, F.avg))).first()
+    from .stats import exact_quantiles
+
+    shown = kept(tokens.select(*projected)) if used else tokens
+    stats = shown.agg(*(f(F.col(f"a{k}")) for k in range(used) for f in (F.stddev_pop, F.avg))).first() if used else ()
+    middle = {r["column_name"]: r["value"] for r in exact_quantiles(shown, [f"a{k}" for k in range(used)], [0.5]).collect()} if used else {}
     centers = np.zeros((cfg.partitions, axes))
     for p in range(cfg.partitions):
         bits = gray_decode(p)
         for k in range(used):
-            median, deviation, mean = stats[3 * k : 3 * k + 3]
+            median, (deviation, mean) = middle[f"a{k}"], stats[2 * k : 2 * k + 2]
             centers[p, k] = median - mean + (0.5 if bits >> k & 1 else -0.5) * deviation
     return np.repeat(parts[None], cfg.reps, 0), np.repeat(centers[None], cfg.reps, 0)
 
 
+def pca_dimensions(tokens: DataFrame, axes: int = 20, most: int = 10) -> list[tuple[int, float]]:
+    """(dimension, score) of the dimensions that the principal axes load most on: sums of absolute loadings weighted by
+    each axis' share of variance; the smaller dimension of equals. The driver gets dimension x axes numbers."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector
+
+    one = tokens.select(F.size("vec")).first()
+    if one is None:
+        return []
+    model = PCA(k=min(axes, one[0]), inputCol="features", outputCol="out").fit(tokens.select(array_to_vector(doubles(F.col("vec"))).alias("features")))
+    score = np.abs(model.pc.toArray()) @ model.explainedVariance.toArray()
+    return [(int(d), float(score[d])) for d in sorted(range(len(score)), key=lambda d: (-score[d], d))[:most]]
+
+
 # Hash tables over tokens
 
 

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import checked_broadcast, dot, doubles, elementwise
+from ..functions.shared import kept
+from ..functions.vectors import checked_broadcast, checked_local, checked_rows, dot, doubles, elementwise
 
 #: What an empty document scores.
 EMPTY_SCORE = -1e9
@@ -27,7 +28,8 @@ def fde_scores(queries: DataFrame, docs: DataFrame, width: int, every: DataFrame
     and document blocks.
 
     An equi-join on the partition, so empty partitions cost nothing. Pairs without a common partition are left out
-    unless ``every(qid, doc_id)`` lists the pairs wanted; they score 0.
+    unless ``every(qid, doc_id)`` lists the pairs wanted; they score 0. If all blocks of a document are in one task
+    (``encode.blocks(.., together=True)``), nothing is shuffled here.
     """
     q = checked_broadcast(queries.select("qid", F.col("rep").alias("q_rep"), F.col("part").alias("q_part"), F.col("vec").alias("q_vec")), 32 + 8 * width)
     met = docs.join(q, (F.col("rep") == F.col("q_rep")) & (F.col("part") == F.col("q_part")))
@@ -44,26 +46,39 @@ def topk(scores: DataFrame, k: int | None, by: str = "qid", then: Column | None
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def full_ranking(scores: DataFrame, ranges: int = 64) -> DataFrame:
+    """As :func:`topk` without a limit, for rankings of whole collections: the scores of a query are cut into ranges at
+    their quantiles, ranked within a range, and offset by how many stand in the ranges before."""
+    scores = kept(scores)
+    shares = F.array(*(F.lit(k / ranges) for k in range(1, ranges)))
+    splits = scores.groupBy("qid").agg(F.percentile_approx("score", shares, F.lit(10 * ranges)).alias("splits"))
+    placed = scores.join(checked_broadcast(splits, 16 + 8 * ranges), "qid").withColumn("range", F.size(F.filter("splits", lambda s: s > F.col("score")))).drop("splits")
+    before = F.coalesce(F.sum("n").over(W.partitionBy("qid").orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offset = placed.groupBy("qid", "range").agg(F.count("*").alias("n")).select("qid", "range", before.alias("before"))
+    within = F.row_number().over(W.partitionBy("qid", "range").orderBy(F.desc("score"), F.asc("doc_id")))
+    ranked = placed.withColumn("rank", within).join(offset, ["qid", "range"])
+    return ranked.select(*scores.columns, (F.col("rank") + F.col("before")).cast("long").alias("rank"))
+
+
 def scan_topk(queries: DataFrame, docs: DataFrame, k: int, vec: str = "fde") -> DataFrame:
     """qid, doc_id, score, rank by one pass over dense encodings docs(doc_id, fde) for a set of dense queries(qid, fde).
 
-    A block of queries is a matrix that tasks multiply batches of documents with; a task hands on k rows a query at
-    most (those that tie with its last by score and come later by id can't be among the first k of all).
+    Blocks of queries are matrices that tasks multiply batches of documents with; a task hands on k rows a query at
+    most (those that tie with its last by score and come later by id can't be among the first k of all). Documents are
+    read once, however many blocks there are. The queries must fit the driver, which is checked.
     """
-    rows = queries.select("qid", doubles(F.col(vec)).alias("v")).orderBy("qid").toArrow()
+    one = queries.select(F.size(vec)).first()
+    rows = checked_rows(queries.select("qid", doubles(F.col(vec)).alias("v")).orderBy("qid"), 16 + 8 * (one[0] if one else 1))
     if not rows.num_rows:
         return docs.limit(0).select(F.lit(0).cast("long").alias("qid"), "doc_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank"))
     ids, flat = rows["qid"].to_pylist(), rows["v"].combine_chunks().flatten().to_numpy()
     matrix = flat.reshape(len(ids), -1)
-    found = None
-    for at in range(0, len(ids), BLOCK):
-        part = docs.select("doc_id", doubles(F.col(vec)).alias("v")).mapInArrow(_scan(ids[at : at + BLOCK], matrix[at : at + BLOCK].T.copy(), k), "qid long, doc_id long, score double")
-        found = part if found is None else found.union(part)
+    found = docs.select("doc_id", doubles(F.col(vec)).alias("v")).mapInArrow(_scan(ids, matrix, k), "qid long, doc_id long, score double")
     return topk(found, k)
 
 
 def _scan(ids: list[int], matrix: np.ndarray, k: int):
-    names = np.array(ids, np.int64)
+    names = [np.array(ids[at : at + BLOCK], np.int64) for at in range(0, len(ids), BLOCK)]
 
     def best(doc: np.ndarray, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of [documents, queries] the k first of each query: ids and scores, [k, queries]."""
@@ -71,16 +86,18 @@ def _scan(ids: list[int], matrix: np.ndarray, k: int):
         return np.take_along_axis(doc, order, 0), np.take_along_axis(score, order, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        doc = np.zeros((0, len(names)), np.int64)
-        score = np.zeros((0, len(names)))
+        blocks = [matrix[at : at + BLOCK].T.copy() for at in range(0, len(ids), BLOCK)]
+        held = [(np.zeros((0, len(n)), np.int64), np.zeros((0, len(n)))) for n in names]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            s = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1) @ matrix
-            d = np.broadcast_to(batch.column(0).to_numpy()[:, None], s.shape)
-            doc, score = best(np.concatenate([doc, d]), np.concatenate([score, s]))
-        if len(doc):
-            yield pa.RecordBatch.from_arrays([pa.array(np.tile(names, len(doc))), pa.array(doc.ravel()), pa.array(score.ravel())], ["qid", "doc_id", "score"])
+            rows, d = batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1), batch.column(0).to_numpy()[:, None]
+            for b, block in enumerate(blocks):
+                s = rows @ block
+                held[b] = best(np.concatenate([held[b][0], np.broadcast_to(d, s.shape)]), np.concatenate([held[b][1], s]))
+        for n, (doc, score) in zip(names, held, strict=True):
+            if len(doc):
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(n, len(doc))), pa.array(doc.ravel()), pa.array(score.ravel())], ["qid", "doc_id", "score"])
 
     return run
 
@@ -89,11 +106,12 @@ def chamfer(pairs: DataFrame, qtokens: DataFrame, tokens: DataFrame) -> DataFram
     """The columns of ``pairs(qid, doc_id, ..)`` with score: for every query token the largest product with a token of
     the document, summed over the query's tokens. A document without tokens scores ``EMPTY_SCORE``.
 
-    tokens are joined on doc_id and combined per query token before and after the shuffle, so a document of very many
-    tokens takes no more memory than another.
+    Pairs and query bags are the stated, small side: they go to where the tokens are if a count shows that they fit,
+    so tokens aren't shuffled (a filter by doc_id, in a pack its row groups). Maxima are combined per query token before
+    and after the shuffle, so a document of very many tokens takes no more memory than another.
     """
-    q = qtokens.groupBy("qid").agg(F.collect_list(doubles(F.col("vec"))).alias("bag"))
-    keys = pairs.select("qid", "doc_id").distinct()
+    q = checked_broadcast(qtokens.groupBy("qid").agg(F.collect_list(doubles(F.col("vec"))).alias("bag")), 1 << 16)
+    keys = checked_broadcast(pairs.select("qid", "doc_id").distinct(), 16)
     met = tokens.select(F.col("doc_id").alias("t_doc"), doubles(F.col("vec")).alias("vec")).join(keys, F.col("t_doc") == F.col("doc_id")).join(q, "qid")
     sims = met.select("qid", "doc_id", F.posexplode(F.transform("bag", lambda v: dot(v, F.col("vec")))).alias("qtok", "s"))
     score = sims.groupBy("qid", "doc_id", "qtok").agg(F.max("s").alias("m")).groupBy("qid", "doc_id").agg(F.sum("m").alias("score"))
@@ -107,7 +125,8 @@ def chamfer_all(qtokens: DataFrame, tokens: DataFrame, docs: DataFrame | None =
     tokens with it and keep the maxima of each document they meet; what is shuffled is one row of maxima for a document
     and task. Documents of ``docs`` without tokens score ``EMPTY_SCORE``.
     """
-    rows = qtokens.select("qid", doubles(F.col("vec")).alias("v"), "qtok").orderBy("qid", "qtok").toArrow()
+    one = qtokens.select(F.size("vec")).first()
+    rows = checked_rows(qtokens.select("qid", doubles(F.col("vec")).alias("v"), "qtok").orderBy("qid", "qtok"), 24 + 8 * (one[0] if one else 1))
     ids = np.array(rows["qid"].to_pylist(), np.int64)
     found = None
     start = 0
@@ -157,8 +176,10 @@ def rerank(candidates: DataFrame, qtokens: DataFrame, tokens: DataFrame, n: int
     """qid, doc_id, score, rank, stage from candidates(qid, doc_id, score, rank).
 
     The first ``n`` candidates of a query (0: all) are ordered by Chamfer similarity, equals in the order they came;
-    the rest follow in their own order with their own scores unless ``keep_tail`` is off.
+    the rest follow in their own order with their own scores unless ``keep_tail`` is off. Candidates are computed once
+    if they are few enough to be held.
     """
+    candidates, _ = checked_local(candidates.select("qid", "doc_id", "score", "rank"), 32)
     head = candidates if n == 0 else candidates.where(F.col("rank") <= n)
     scored = chamfer(head.select("qid", "doc_id", F.col("rank").alias("came")), qtokens, tokens).withColumn("stage", F.lit("rerank"))
     if keep_tail and n:

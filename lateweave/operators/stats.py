@@ -142,6 +142,21 @@ def set_bits(mask: Column) -> Column:
     return F.length(F.replace(mask, F.lit("0"), F.lit("")))
 
 
+def cumulative_timing(measured: DataFrame) -> DataFrame:
+    """batch, phase, seconds, total: what each phase took in a batch and in all batches up to it, from
+    measured(batch, phase, seconds), summed within a batch. A row for each batch and phase meets in a task per phase."""
+    per = measured.groupBy("batch", "phase").agg(F.sum("seconds").alias("seconds"))
+    return per.withColumn("total", F.sum("seconds").over(W.partitionBy("phase").orderBy("batch").rowsBetween(W.unboundedPreceding, 0)))
+
+
+def latency_means(log: DataFrame) -> DataFrame:
+    """metric, n, mean of the latency log's columns, what wasn't measured (-1) left out; null where nothing was."""
+    names = [c for c in log.columns if c != "qid"]
+    some = lambda c: F.when(F.col(c) >= 0, F.col(c))
+    wide = log.agg(*(F.struct(F.lit(c).alias("metric"), F.count(some(c)).alias("n"), F.avg(some(c)).alias("mean")).alias(f"m{k}") for k, c in enumerate(names)))
+    return wide.select(F.explode(F.array(*(f"m{k}" for k in range(len(names))))).alias("e")).select("e.*")
+
+
 def timing_report(timings: dict[str, float], docs: int, reps: int) -> list[tuple[str, float, float, float, float]]:
     """phase, seconds, percent, milliseconds a document and a repetition, slowest phase first."""
     total = sum(timings.values()) or 1.0

@@ -5,7 +5,8 @@ from __future__ import annotations
 from dataclasses import replace
 
 from .plans.config import FdeConfig, Projection, ams_columns, count_sketch, gray_decode, hyperplanes, lsh_planes
-from .queries import BASE, DIMENSION, DOC, QUERIES_N, TOP, WIDE, fixed_centers, fixed_lists
+from .queries import BASE, DIMENSION, DOC, NPROBE, QUERIES_N, TOP, WIDE, fixed_centers, fixed_lists
+from .sources.store import LATENCY
 
 
 def values(rows: list[tuple]) -> str:
@@ -182,12 +183,13 @@ p as (select * from di qualify row_number() over (partition by doc_id, tok, rep
 {LONG} (from dc union all from fx)"""
 
 
-LISTS = f"""ls(list_id, rep, part, c) as ({values(fixed_lists())}),
+def lists(nprobe: int) -> str:
+    return f"""ls(list_id, rep, part, c) as ({values(fixed_lists())}),
 lc as (select list_id::bigint list_id, rep, part, unnest(c) c, unnest(range({DIMENSION})) dim from ls),
 la as (select doc_id, list_id from (select doc_id, list_id, sum(val * c) s from dc join lc using (rep, part, dim) group by all)
   qualify row_number() over (partition by doc_id order by s desc, list_id) = 1),
 lp as (select doc_id qid, list_id from (select doc_id, list_id, sum(val * c) s from qc join lc using (rep, part, dim) group by all)
-  qualify row_number() over (partition by doc_id order by s desc, list_id) <= 2)"""
+  qualify row_number() over (partition by doc_id order by s desc, list_id) <= {nprobe})"""
 
 
 def hashes(bits: int, tables_: int) -> str:
@@ -211,16 +213,22 @@ dr as (select (m.run // 2)::bigint bit, (m.run % 2)::bigint forced, m.recall, m.
   from me m, me f where m.run >= 0 and f.run = -1)"""
 
 
-def by_repetition() -> str:
+def by_repetition(by: str = "recall") -> str:
     return f"""with {TOK}, {parts(WIDE)}, {Q_CELLS}, {D_CELLS}, {LABELS},
 rsc as (select rep, q.doc_id qid, d.doc_id, sum(q.val * d.val) score from qc q join dc d using (rep, part, dim) group by all),
 rk as (select *, row_number() over (partition by rep, qid order by score desc, doc_id) rank from rsc),
 ql as (select rep, qr.* from qr, (select distinct rep from rk)),
 me as (select rep::bigint rep, avg(recall) recall, avg(ndcg) ndcg from (with {per_query(10, "rk", "ql", "rep")} select * from pq) group by rep),
-tp as (select pc::bigint percent, rep from (select *, row_number() over (order by recall desc, rep) place from me),
+tp as (select pc::bigint percent, rep from (select *, row_number() over (order by {by} desc, rep) place from me),
   (select unnest([20, 40, 60, 80]) pc) where place <= greatest(1, {WIDE.reps} * pc // 100))"""
 
 
+def combined(by: str) -> str:
+    return f"""{by_repetition(by)}, cr as (select percent, qid, doc_id, sum(score) score from rsc join tp using (rep) group by all),
+rc as (select *, row_number() over (partition by percent, qid order by score desc, doc_id) rank from cr), qc2 as (select percent, qr.* from qr, (select distinct percent from tp)),
+{per_query(10, "rc", "qc2", "percent")} select percent, {r6('avg(recall)')} recall, {r6('avg(ndcg)')} ndcg from pq group by percent"""
+
+
 def grid() -> str:
     out = []
     for name, cfg in (("r1", replace(BASE, reps=1)), ("r2", BASE)):
@@ -251,8 +259,7 @@ ORACLES: dict[str, str] = {
     "fde_topk": FDE_TOP,
     "fde_scan_topk": FDE_TOP,
     "stored_index": FDE_TOP,
-    "fde_full_ranking": f"with {FDE} {TOP_OUT} ra",
-    "fde_full_ranking_every": f"""with {FDE}, ev as (select qid, doc_id, coalesce(score, 0) score from (select distinct qid from qt) cross join (select distinct doc_id from dt) left join sc using (qid, doc_id))
+    "fde_full_ranking": f"""with {FDE}, ev as (select qid, doc_id, coalesce(score, 0) score from (select distinct qid from qt) cross join (select distinct doc_id from dt) left join sc using (qid, doc_id))
 {TOP_OUT} (select *, {RANK} rank from ev)""",
     "chamfer_bruteforce": CHAMFER_TOP,
     "append_truth": CHAMFER_TOP,
@@ -282,8 +289,11 @@ ORACLES: dict[str, str] = {
     "center_fill": centers(True),
     "hash_encoder": """select doc_id, count(*)::bigint n_tokens, 8::bigint dimension from
 (select doc_id, unnest(string_split_regex(lower(text), '[ \\t\\n\\x0B\\f\\r]+')) w from documents) where w <> '' group by doc_id""",
-    "ivf_assign": f"with {FDE}, {LISTS} select * from la",
-    "ivf_probe": f"with {FDE}, {LISTS}, pb as (select s.* from sc s join la using (doc_id) join lp using (qid, list_id)) {TOP_OUT} (select *, {RANK} rank from pb) where rank <= {TOP}",
+    "ivf_assign": f"with {FDE}, {lists(2)} select * from la",
+    "ivf_probe": f"with {FDE}, {lists(2)}, pb as (select s.* from sc s join la using (doc_id) join lp using (qid, list_id)) {TOP_OUT} (select *, {RANK} rank from pb) where rank <= {TOP}",
+    "ivf_stored": f"with {FDE}, {lists(NPROBE)}, pb as (select s.* from sc s join la using (doc_id) join lp using (qid, list_id)) {TOP_OUT} (select *, {RANK} rank from pb) where rank <= {TOP}",
+    "ivf_recall": f"with {FDE}, {lists(6)} " + " union all ".join(f"select {n}::bigint nprobe, (select {r6('avg((list_id is not null)::int)')} from (with {lists(n)} select l.list_id from ra join la using (doc_id) left join lp l on l.qid = ra.qid and l.list_id = la.list_id where rank <= {TOP})) recall" for n in range(1, 7)),
+    "lsh_stored": f"with {TOK}, {hashes(6, 3)} select q.doc_id qid, d.doc_id, count(*)::bigint hits from ha q join ha d using (table_id, hash) where q.{IS_Q} and d.{IS_D} group by all",
     "lsh_buckets": f"with {TOK}, {hashes(12, 3)} select * from ha where {IS_D}",
     "lsh_probe": f"with {TOK}, {hashes(6, 3)} select q.doc_id qid, d.doc_id, count(*)::bigint hits from ha q join ha d using (table_id, hash) where q.{IS_Q} and d.{IS_D} group by all",
     "doc_sketch_topl": f"with {TOK}, {NORMS} select doc_id, tok, {r6('row_norm')} row_norm from st where place <= 2",
@@ -299,8 +309,8 @@ select doc_id, min(tok) start, count(*)::bigint length from i group by doc_id, i
     "per_query_metrics": f"with {FDE}, {LABELS}, {per_query(10)} select qid, {r6('hit')} hit, {r6('recall')} recall, {r6('ndcg')} ndcg from pq",
     "metric_summary": f"with {FDE}, {LABELS}, {per_query(10)} " + " union all ".join(f"select '{c}' metric, {r6(f'min({c})')} min, {r6(f'avg({c})')} avg, {r6(f'max({c})')} max from pq" for c in ("recall", "ndcg")),
     "truth_metrics": f"with {TRUTH}, sy as (from ca) " + " union all ".join(f"select {k}::bigint k, count(*)::bigint queries, {r6('avg(recall)')} recall_at_k, {r6('avg(hit)')} hit_at_k, {r6('avg(ndcg)')} ndcg_at_k from (with {truth_pq(k)} select * from tq)" for k in (1, 5, 10)),
-    "truth_metrics_system": f"with {TRUTH}, sy as (select * from ca where qid % 2 = 0), {truth_pq(10, 'and t.qid in (select qid from sy)')} select qid, {r6('recall')} recall, {r6('hit')} hit, {r6('ndcg')} ndcg from tq",
-    "qrels_overlap": f"with {TOK}, {LABELS}, d as (select distinct doc_id, doc_id % 2 = 0 ok from qr) select count(*)::bigint relevant, count(*) filter (ok)::bigint indexed, {r6('count(*) filter (ok) / greatest(count(*), 1)')} overlap from d",
+    "truth_metrics_system": f"with {TRUTH}, sy as (from ca), {truth_pq(10, 'and t.qid in (select qid from sy)')} select qid, {r6('recall')} recall, {r6('hit')} hit, {r6('ndcg')} ndcg from tq",
+    "qrels_overlap": f"with {FDE}, {cand(20)}, {LABELS}, d as (select distinct doc_id, doc_id in (select doc_id from ca) ok from qr) select count(*)::bigint relevant, count(*) filter (ok)::bigint indexed, {r6('count(*) filter (ok) / greatest(count(*), 1)')} overlap from d",
     "partition_mask": f"with {MASKS} select * from mk",
     "masking_summary": f"with {MASKS} select rep, count(*)::bigint n_docs, {r6('avg(active_partition_count)')} mean, {r6('median(active_partition_count)')} median, min(active_partition_count) min, max(active_partition_count) max, {r6('stddev_samp(active_partition_count)')} std from mk group by rep",
     "partition_utilization": f"with {UTIL} select rep, part, utilized_docs, total_docs, count_sum, {', '.join(f'{r6(c)} {c}' for c in ('utilization_rate', 'count_mean', 'count_median', 'count_std', 'count_min', 'count_max'))} from ut",
@@ -314,14 +324,25 @@ select batch_id, count(*)::bigint total_docs, count(distinct doc_id)::bigint uni
 select qid, count(*)::bigint docloads, count(distinct doc_id)::bigint uniqdocs, {r6('avg(delta)')} mean_pos_delta,
   {r6('list_sort(list(delta) filter (delta is not null))[(floor(0.95 * (count(delta) - 1)) + 1)::int]')} p95_pos_delta from dl group by qid""",
     "latency_log": latency(),
+    "latency_means": f"with l as ({latency()}) " + " union all ".join(f"select '{c}' metric, count(*) filter ({c} >= 0)::bigint n, {r6(f'avg({c}) filter ({c} >= 0)')} mean from l" for c in LATENCY[1:]),
+    "cumulative_timing": f"""with b as (select event_id // 500 batch, event_type phase, sum(abs(value)) s from events group by all)
+select batch, phase, {r6('s')} as seconds, {r6('sum(s) over (partition by phase order by batch)')} as total from b""",
+    "stream_waits": f"""with t as (select event_id qid, ts, abs(value) v, date_trunc('minute', ts) + interval 1 minute b from events),
+p as (select b, count(*)::bigint n, sum(v) / count(*) s from t group by b)
+select qid, strftime(b, '%Y-%m-%d %H:%M:%S') batch_start, {r6('(epoch_us(b) - epoch_us(ts)) / 1e6')} wait_s, n batch_size, {r6('s')} shared_s from t join p using (b)""",
+    "query_cache": f"with {TOK}, {parts(BASE)}, {Q_CELLS} select doc_id qid, ((rep * 8 + part) * {DIMENSION} + dim)::bigint flat, {r6('val')} val from qc where val <> 0",
+    "retriever_report": " union all ".join(f"select '{name}' retriever, * from ({sql})" for name, sql in (
+        ("fde", evaluated(f"{FDE}, {cand(20)}, {LABELS}", (10,))),
+        ("fde+rerank", evaluated(f"{FDE}, {cand(20).replace('ca as', 'c0 as')}, {chamfer()}, rr as (select c.qid, c.doc_id, c.rank came, case when c.rank <= 8 then -h.score end s from c0 c left join ch h using (qid, doc_id)), ca as (select qid, doc_id, row_number() over (partition by qid order by s is null, s, came) rank from rr), {LABELS}", (10,))),
+        ("chamfer", evaluated(f"{TOK}, {chamfer()}, ca as (select * from (select *, {RANK} rank from ch) where rank <= 20), {LABELS}", (10,))))),
     "event_windows": f"select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') window_start, event_type kind, count(*)::bigint n, {r6('avg(value)')} mean_value from events group by all",
     "bit_ablation": f"{ablation()} select bit, forced, {', '.join(f'{r6(c)} {c}' for c in ('recall', 'ndcg', 'recall_drop', 'ndcg_drop'))} from dr",
     "ablation_summary": f"{ablation()}, ev2 as (from dr union all select bit, -1, recall, ndcg, recall_drop, ndcg_drop from dr) select forced, {r6('avg(recall_drop)')} mean_recall_drop, {r6('avg(ndcg_drop)')} mean_ndcg_drop, {r6('stddev_pop(recall_drop)')} std_recall_drop, arg_min(bit, (-recall_drop, bit)) worst_bit from ev2 group by forced",
     "repetition_ablation": f"{by_repetition()} select rep, {r6('recall')} recall, {r6('ndcg')} ndcg from me",
     "top_repetitions": f"{by_repetition()} select * from tp",
-    "combined_repetitions": f"""{by_repetition()}, cr as (select percent, qid, doc_id, sum(score) score from rsc join tp using (rep) group by all),
-rc as (select *, row_number() over (partition by percent, qid order by score desc, doc_id) rank from cr), qc2 as (select percent, qr.* from qr, (select distinct percent from tp)),
-{per_query(10, "rc", "qc2", "percent")} select percent, {r6('avg(recall)')} recall, {r6('avg(ndcg)')} ndcg from pq group by percent""",
+    "top_repetitions_ndcg": f"{by_repetition('ndcg')} select * from tp",
+    "combined_repetitions": combined("recall"),
+    "combined_repetitions_ndcg": combined("ndcg"),
     "parameter_grid": grid(),
     "qrels_filter": "select doc_id::varchar qid, (doc_id + 1)::varchar doc_id, 1::bigint rel from labels where quality > 0",
     "query_keys": "select item_id qid, sha1(item_id || '||' || text) query_key from benchmark",

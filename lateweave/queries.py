@@ -5,7 +5,6 @@ Five consecutive vectors of ``embeddings`` are a bag; the first ten bags are que
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -15,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions.shared import shared_folder
 from .operators import encode, experiments, index, metrics, search, stats
 from .plans.config import Encoding, FdeConfig, Fill, Projection
 from .sources import encoders, store, tables
@@ -64,7 +64,7 @@ class Scene:
         return encode.blocks(tables.as_tokens(self.q), cfg.query(), "qid")
 
     def scores(self, cfg: FdeConfig = DOC) -> DataFrame:
-        return search.fde_scores(self.query_blocks(cfg), encode.blocks(self.d, cfg), cfg.width)
+        return search.fde_scores(self.query_blocks(cfg), encode.blocks(self.d, cfg, together=True), cfg.width)
 
     def candidates(self, k: int = 20) -> DataFrame:
         return search.topk(self.scores(), k)
@@ -80,8 +80,7 @@ class Scene:
 
     def scratch(self, name: str) -> str:
         """A new folder that all executors share."""
-        top = self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lateweave-")
-        return f"{top}/{name}-{uuid.uuid4().hex}"
+        return f"{shared_folder(self.spark)}/{name}-{uuid.uuid4().hex}"
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,14 +107,10 @@ def fde_scan_topk(s: Scene) -> DataFrame:
 
 @query
 def fde_full_ranking(s: Scene) -> DataFrame:
-    return search.topk(s.scores(), None)
-
-
-@query
-def fde_full_ranking_every(s: Scene) -> DataFrame:
-    """The full ranking with the pairs that have no common partition, which score 0."""
-    every = s.q.select("qid").distinct().crossJoin(s.d.select("doc_id").distinct())
-    return search.topk(search.fde_scores(s.query_blocks(DOC), encode.blocks(s.d, DOC), DOC.width, every), None)
+    """All documents for each of the stated queries; those without a common partition score 0."""
+    each = F.explode(F.array(*(F.lit(q).cast("long") for q in range(QUERIES_N))))
+    every = s.d.select("doc_id").distinct().select(each.alias("qid"), "doc_id")
+    return search.full_ranking(search.fde_scores(s.query_blocks(DOC), encode.blocks(s.d, DOC, together=True), DOC.width, every))
 
 
 @query
@@ -293,6 +288,30 @@ def ivf_probe(s: Scene) -> DataFrame:
     return index.ivf_search(q, docs, index.assign_lists(centers, docs, DIMENSION), index.probe_lists(q, centers, DIMENSION, 2), DIMENSION, TOP)
 
 
+NPROBE = 5
+
+
+@query
+def ivf_stored(s: Scene) -> DataFrame:
+    """Search over encodings that are stored by list; only probed lists are read."""
+    path, docs, centers, q = s.scratch("lists"), encode.blocks(s.d, DOC), _lists(s), s.query_blocks()
+    store.save_lists(docs.join(index.assign_lists(centers, docs, DIMENSION), "doc_id").select("list_id", "doc_id", "rep", "part", "vec"), centers, path)
+    postings, centers = store.load_lists(s.spark, path)
+    return index.stored_search(q, postings, index.probe_lists(q, centers, DIMENSION, NPROBE), DIMENSION, TOP)
+
+
+@query
+def ivf_recall(s: Scene) -> DataFrame:
+    """nprobe, recall: the share of the exact best that probing so many lists finds."""
+    docs, centers, q = encode.blocks(s.d, DOC), _lists(s), s.query_blocks()
+    exact = search.topk(s.scores(), TOP).select("qid", "doc_id")
+    lists = index.assign_lists(centers, docs, DIMENSION)
+    probes = search.topk(search.fde_scores(q, centers.withColumnRenamed("qid", "doc_id"), DIMENSION), None).select("qid", F.col("doc_id").alias("list_id"), "rank")
+    place = exact.join(lists, "doc_id").join(probes, ["qid", "list_id"], "left").select(F.col("rank").alias("needs"))
+    each = place.select("needs", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("nprobe"))
+    return each.groupBy("nprobe").agg(F.avg(F.coalesce(F.col("needs") <= F.col("nprobe"), F.lit(False)).cast("double")).alias("recall"))
+
+
 @query
 def ivf_kmeans(s: Scene) -> DataFrame:
     docs = encode.blocks(s.d, DOC)
@@ -311,6 +330,15 @@ def lsh_probe(s: Scene) -> DataFrame:
     return index.lsh_probe(index.lsh_hashes(s.d, DIMENSION, 6, 3), q)
 
 
+@query
+def lsh_stored(s: Scene) -> DataFrame:
+    """As lsh_probe, from hash tables that were written and read again."""
+    path = s.scratch("hashes")
+    store.save_hashes(index.lsh_hashes(s.d, DIMENSION, 6, 3), path)
+    q = index.lsh_hashes(s.q.select(F.col("qid").alias("doc_id"), F.col("qtok").alias("tok"), "vec"), DIMENSION, 6, 3)
+    return index.lsh_probe(store.load_hashes(s.spark, path), q)
+
+
 @query
 def doc_sketch_topl(s: Scene) -> DataFrame:
     return search.strongest_rows(s.d, 2).select("doc_id", "tok", "row_norm")
@@ -363,6 +391,18 @@ def graded_metrics(s: Scene) -> DataFrame:
     return metrics.evaluate(s.candidates(), grades, (5, 10))
 
 
+@query
+def retriever_report(s: Scene) -> DataFrame:
+    """A row for each retriever: first stage alone, with re-ranking and tail, and exact Chamfer."""
+    found = s.candidates()
+    runs = {"fde": found, "fde+rerank": search.rerank(found, s.q, s.d, n=8), "chamfer": s.truth(20)}
+    rows = None
+    for name, ranked in runs.items():
+        one = metrics.evaluate(ranked.select("qid", "doc_id", "rank"), s.qrels(), (10,)).select(F.lit(name).alias("retriever"), "*")
+        rows = one if rows is None else rows.union(one)
+    return rows
+
+
 @query
 def truth_metrics(s: Scene) -> DataFrame:
     return metrics.evaluate_truth(s.candidates(), s.truth(10), (1, 5, 10))
@@ -370,12 +410,13 @@ def truth_metrics(s: Scene) -> DataFrame:
 
 @query
 def truth_metrics_system(s: Scene) -> DataFrame:
-    return metrics.per_query_truth(s.candidates().where("qid % 2 = 0"), s.truth(10), 10, "system")
+    return metrics.per_query_truth(s.candidates(), s.truth(10), 10, "system")
 
 
 @query
 def qrels_overlap(s: Scene) -> DataFrame:
-    return metrics.overlap(s.qrels(), s.d.where("doc_id % 2 = 0"))
+    """How many relevant documents are candidates of any query."""
+    return metrics.overlap(s.qrels(), s.candidates())
 
 
 # Statistics
@@ -428,12 +469,33 @@ def access_locality(s: Scene) -> DataFrame:
     return search.access_locality(s.candidates(10))
 
 
-@query
-def latency_log(s: Scene) -> DataFrame:
+def _latencies(s: Scene) -> DataFrame:
     e = tables.table(s.spark, s.folder, "events").select(F.col("event_id").alias("qid"), (F.abs("value") / 1000).alias("ann_s"), F.when(F.col("user_id") % 2 == 0, F.col("value") / 500).alias("rerank_s"))
     return store.latency_rows(e, 10)
 
 
+@query
+def latency_log(s: Scene) -> DataFrame:
+    return _latencies(s)
+
+
+@query
+def latency_means(s: Scene) -> DataFrame:
+    return stats.latency_means(_latencies(s))
+
+
+@query
+def cumulative_timing(s: Scene) -> DataFrame:
+    e = tables.table(s.spark, s.folder, "events")
+    return stats.cumulative_timing(e.select(F.expr("event_id div 500").alias("batch"), F.col("event_type").alias("phase"), F.abs("value").alias("seconds")))
+
+
+@query
+def stream_waits(s: Scene) -> DataFrame:
+    e = tables.table(s.spark, s.folder, "events").select(F.col("event_id").alias("qid"), "ts", F.abs("value").alias("seconds"))
+    return streaming.waits(e).select("qid", F.date_format("batch_start", "yyyy-MM-dd HH:mm:ss").alias("batch_start"), "wait_s", "batch_size", "shared_s")
+
+
 @query
 def event_windows(s: Scene) -> DataFrame:
     got = streaming.latencies(tables.table(s.spark, s.folder, "events"), window="1 hour")
@@ -454,7 +516,7 @@ def ablation_summary(s: Scene) -> DataFrame:
 
 
 def _repetitions(s: Scene) -> tuple[DataFrame, DataFrame, int]:
-    return s.query_blocks(WIDE), encode.blocks(s.d, WIDE.document()), DIMENSION
+    return s.query_blocks(WIDE), encode.blocks(s.d, WIDE.document(), together=True), DIMENSION
 
 
 @query
@@ -467,6 +529,18 @@ def top_repetitions(s: Scene) -> DataFrame:
     return experiments.top_repetitions(experiments.repetition_ablation(*_repetitions(s), s.qrels(), WIDE.reps), WIDE.reps)
 
 
+@query
+def top_repetitions_ndcg(s: Scene) -> DataFrame:
+    return experiments.top_repetitions(experiments.repetition_ablation(*_repetitions(s), s.qrels(), WIDE.reps), WIDE.reps, by="ndcg")
+
+
+@query
+def combined_repetitions_ndcg(s: Scene) -> DataFrame:
+    start = _repetitions(s)
+    chosen = experiments.top_repetitions(experiments.repetition_ablation(*start, s.qrels(), WIDE.reps), WIDE.reps, by="ndcg")
+    return experiments.combined_repetitions(*start, s.qrels(), chosen)
+
+
 @query
 def combined_repetitions(s: Scene) -> DataFrame:
     start = _repetitions(s)
@@ -525,6 +599,19 @@ def append_truth(s: Scene) -> DataFrame:
     return store.read_truth(s.spark, path, TOP)
 
 
+@query
+def query_cache(s: Scene) -> DataFrame:
+    """Encodings of queries from a cache that first held others of another length, then half of them."""
+    path = s.scratch("cache")
+    keyed = s.q.select("qid").distinct().withColumn("query_key", tables.query_key(F.col("qid"), F.lit("")))
+    build = lambda cfg: lambda some: encode.dense_form(encode.blocks(tables.as_tokens(s.q.join(some, "qid", "left_semi")), cfg.query(), "qid"), cfg, id_col="qid")
+    small = replace(BASE, reps=1)
+    store.cached_encodings(keyed, path, small.length, build(small))
+    store.cached_encodings(keyed.where("qid < 5"), path, BASE.length, build(BASE))
+    got = store.cached_encodings(keyed, path, BASE.length, build(BASE))
+    return got.select("qid", F.posexplode("fde").alias("flat", "val")).where("val <> 0")
+
+
 @query
 def stored_index(s: Scene) -> DataFrame:
     """Search over blocks that were written and read again."""

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.shared import exists
 from ..plans.config import FdeConfig
 
 
@@ -23,12 +24,9 @@ def save_blocks(found: DataFrame, cfg: FdeConfig, path: str, by: str = "rep") ->
 
 def stored_config(spark: SparkSession, path: str) -> FdeConfig | None:
     """The settings of a store; None if there is none."""
-    try:
-        row = spark.read.schema("settings string").json(f"{path}/meta").first()
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+    if not exists(spark, f"{path}/meta"):
+        return None
+    row = spark.read.schema("settings string").json(f"{path}/meta").first()
     return FdeConfig.from_meta(json.loads(row["settings"])) if row else None
 
 
@@ -59,6 +57,34 @@ def load_lists(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/centers")
 
 
+def save_hashes(hashes: DataFrame, path: str) -> None:
+    """Hash tables by table: a probe of one table reads only its folder."""
+    hashes.write.mode("overwrite").partitionBy("table_id").parquet(path)
+
+
+def load_hashes(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select(F.col("table_id").cast("int").alias("table_id"), "hash", "doc_id", "tok")
+
+
+CACHE = "query_key string, cells long, fde array<double>"
+
+
+def cached_encodings(queries: DataFrame, path: str, length: int, build) -> DataFrame:
+    """qid, fde of queries(qid, query_key), from the cache at ``path`` where it has an encoding of ``length`` values
+    under a query's key; the others (new ones, or of another length) are built by ``build(queries)`` and appended."""
+    spark = queries.sparkSession
+
+    def stored() -> DataFrame:
+        rows = spark.read.schema(CACHE).parquet(path) if exists(spark, path) else spark.createDataFrame([], CACHE)
+        return rows.where(F.col("cells") == length).groupBy("query_key").agg(F.first("fde").alias("fde"))
+
+    todo = queries.join(stored().select("query_key"), "query_key", "left_anti")
+    if not todo.isEmpty():
+        fresh = build(todo).join(queries, "qid").select("query_key", F.size("fde").cast("long").alias("cells"), "fde")
+        fresh.write.mode("append").parquet(path)
+    return queries.join(stored(), "query_key").select("qid", "fde")
+
+
 def save_pack(packed: DataFrame, path: str, ranges: int = 200) -> None:
     """Token rows sorted by document within ranges, so that row groups are skipped by doc_id and tok."""
     packed.repartitionByRange(ranges, "doc_id").sortWithinPartitions("doc_id", "tok").write.mode("overwrite").parquet(path)
@@ -77,13 +103,9 @@ TRUTH = "qid long, doc_id long, score double, rank long"
 
 def read_truth(spark: SparkSession, path: str, k: int | None = None) -> DataFrame:
     """Stored truth, best k of each query by score; rows stored twice count once. Nothing stored: no rows."""
-    try:
-        rows = spark.read.schema(TRUTH).parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
+    if not exists(spark, path):
         return spark.createDataFrame([], TRUTH)
-    rows = rows.select("qid", "doc_id", "score").distinct()
+    rows = spark.read.schema(TRUTH).parquet(path).select("qid", "doc_id", "score").distinct()
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("score"), "doc_id")).cast("long"))
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 

@@ -83,6 +83,19 @@ def read_corpus(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("_id string, title string, text string").json(path).select(F.col("_id").alias("doc_id"), F.coalesce("title", F.lit("")).alias("title"), F.coalesce("text", F.lit("")).alias("text"))
 
 
+def read_queries(spark: SparkSession, path: str) -> DataFrame:
+    """qid, text from JSON lines with ``_id`` and ``text``."""
+    return spark.read.schema("_id string, text string").json(path).select(F.col("_id").alias("qid"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+def read_collection(spark: SparkSession, folder: str, split: str = "test", binary: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Corpus, queries and judgements of a folder with corpus.jsonl, queries.jsonl and qrels/{split}.tsv; queries
+    without a judgement in that split are left out."""
+    qrels = read_qrels(spark, f"{folder}/qrels/{split}.tsv", binary)
+    judged = qrels.select("qid").distinct()
+    return read_corpus(spark, f"{folder}/corpus.jsonl"), read_queries(spark, f"{folder}/queries.jsonl").join(judged, "qid", "left_semi"), qrels
+
+
 def read_measurements(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with a header, or by its suffix a TSV, types inferred."""
     return spark.read.csv(path, header=True, inferSchema=True, sep="\t" if path.rstrip("/").endswith(".tsv") else ",")

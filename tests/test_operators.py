@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from lateweave.functions.vectors import checked_local
 from lateweave.operators import encode, experiments, index, metrics, search, stats
 from lateweave.operators.partition import partitioned
 from lateweave.plans import config
@@ -397,3 +398,86 @@ def test_topk_limits_before_the_shuffle(spark):
     q = encode.blocks(tables.as_tokens(qt), CFG, "qid")
     plan = search.topk(search.fde_scores(q, encode.blocks(t, CFG), 6), 3)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan and "BroadcastHashJoin" in plan
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_are_not_shuffled(spark, folder):
+    """Between the encodings and the limit of a task there is one exchange, by document."""
+    from lateweave.queries import Scene
+
+    s = Scene(spark, folder)
+    plan = plan_of(search.topk(s.scores(), 5))
+    dealt = [x for x in plan.splitlines() if "Exchange" in x and "Broadcast" not in x]
+    assert len(dealt) == 2 and "hashpartitioning(qid" in dealt[0] and "hashpartitioning(doc_id" in dealt[1], plan
+    assert "rep" not in dealt[1].split("hashpartitioning(")[1].split(")")[0]
+
+
+def test_tokens_stay_where_they_are_in_reranking(spark, folder):
+    from lateweave.queries import Scene
+
+    s = Scene(spark, folder)
+    pairs, small = checked_local(s.candidates().select("qid", "doc_id"), 16)
+    plan = plan_of(search.chamfer(pairs, s.q, s.d))
+    assert small and "hashpartitioning(doc_id" not in plan and "hashpartitioning(t_doc" not in plan and "CartesianProduct" not in plan
+    at = plan.index("Scan parquet")
+    assert plan.rindex("BroadcastHashJoin", 0, at) > 0
+
+
+def test_only_probed_lists_are_read(spark, tmp_path):
+    path = str(tmp_path / "lists")
+    rows = [(k % 7, k, 0, 0, [float(k), 1.0]) for k in range(70)]
+    postings = spark.createDataFrame(rows, "list_id int, doc_id long, rep int, part int, vec array<double>")
+    store.save_lists(postings, postings.limit(0), path)
+    stored, _ = store.load_lists(spark, path)
+    q = spark.createDataFrame([(0, 0, 0, [1.0, 0.0]), (1, 0, 1, [1.0, 0.0])], "qid long, rep int, part int, vec array<double>")
+    probes = spark.createDataFrame([(0, 3), (0, 5), (1, 5)], "qid long, list_id int")
+    found = index.stored_search(q, stored, probes, 2, 2)
+    assert "PartitionFilters" in plan_of(found) and "list_id" in plan_of(found).split("PartitionFilters")[1][:80]
+    assert {(r["qid"], r["doc_id"], r["score"]) for r in found.collect()} == {(0, 68, 68.0), (0, 66, 66.0), (1, 5, 0.0), (1, 12, 0.0)}
+
+
+def test_query_side_is_checked(spark, monkeypatch):
+    from lateweave.functions import vectors
+
+    monkeypatch.setattr(vectors, "BROADCAST_BYTES", 100)
+    q = spark.createDataFrame([(k, 0, [1.0, 2.0]) for k in range(50)], "qid long, qtok long, vec array<double>")
+    with pytest.raises(ValueError, match="split the query set"):
+        search.chamfer_all(q, q.select(F.col("qid").alias("doc_id"), F.col("qtok").alias("tok"), "vec"))
+
+
+def test_collection_folder(spark, tmp_path):
+    (tmp_path / "qrels").mkdir()
+    (tmp_path / "corpus.jsonl").write_text('{"_id": "d1", "title": "T", "text": "x"}\n{"_id": "d2", "text": null}\n')
+    (tmp_path / "queries.jsonl").write_text('{"_id": "q1", "text": "what"}\n{"_id": "q2", "text": "unjudged"}\n')
+    (tmp_path / "qrels" / "test.tsv").write_text("query-id\tcorpus-id\tscore\nq1\td1\t2\nq1\td2\t0\n")
+    (tmp_path / "qrels" / "dev.tsv").write_text("query-id\tcorpus-id\tscore\nq2\td1\t1\n")
+    corpus, queries, qrels = tables.read_collection(spark, str(tmp_path), binary=False)
+    assert sorted(map(tuple, corpus.collect())) == [("d1", "T", "x"), ("d2", "", "")]
+    assert [tuple(r) for r in queries.collect()] == [("q1", "what")] and [tuple(r) for r in qrels.collect()] == [("q1", "d1", 2)]
+    assert [r["qid"] for r in tables.read_collection(spark, str(tmp_path), "dev")[1].collect()] == ["q2"]
+
+
+def test_dimensions_of_the_axes(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, [5, 0.1, 3, 0.1, 0.1, 1], (400, 6))
+    df = spark.createDataFrame([(k, 0, v) for k, v in enumerate(x.tolist())], "doc_id long, tok long, vec array<double>")
+    value, vector = np.linalg.eigh(np.cov(x.T))
+    order = np.argsort(-value)[:3]
+    want = np.abs(vector[:, order]) @ (value[order] / value.sum())
+    got = index.pca_dimensions(df, 3, 4)
+    assert [d for d, _ in got][:2] == [0, 2] and len(got) == 4
+    assert all(s == pytest.approx(want[d]) for d, s in got)
+    assert index.pca_dimensions(df.limit(0)) == []
+
+
+def test_a_query_over_two_batches_is_an_error(spark, tmp_path):
+    tokens_ = spark.createDataFrame([(k, 0, [1.0, float(k)]) for k in range(4)], "doc_id long, tok long, vec array<double>")
+    cfg = config.FdeConfig(dimension=2, reps=1, bits=1)
+    for n in range(2):
+        spark.createDataFrame([(1, n, [1.0, 2.0])], "qid long, qtok long, vec array<double>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    job = streaming.search_stream(streaming.query_stream(spark, str(tmp_path / "in")), tokens_, encode.blocks(tokens_, cfg.document()), cfg, str(tmp_path / "out"), str(tmp_path / "state"), 4, 2)
+    with pytest.raises(Exception, match="several micro-batches"):
+        job.awaitTermination()
