@@ -95,3 +95,12 @@ def test_one_row_of_each_group_stays(spark):
 def test_buckets_are_connected_over_others():
     sets = [np.arange(a, a + 100, dtype="<u4").tobytes() for a in (0, 10, 20, 500)]
     assert {frozenset(x) for x in resemblance.forest([7, 3, 5, 1], sets, 0.8)} == {frozenset((7, 3)), frozenset((3, 5))}
+
+
+def test_a_task_sends_a_set_once(spark):
+    """However many copies of a text a task has, over blocks too; sets without a word aren't sent."""
+    long = prose(5, 2000)
+    rows = [(k, long if k % 3 else prose(k % 2, 40), "en", "web") for k in range(3000)] + [(3000, "", "en", "web")]
+    docs = documents(spark, rows).coalesce(1).select("doc_id", "text")
+    found = [r["node"] for r in resemblance.with_sets(docs).collect()]
+    assert len(found) == len(set(found)) == len({shingles(t) for _, t, _, _ in rows if t})
