@@ -97,6 +97,41 @@ def test_buckets_are_connected_over_others():
     assert {frozenset(x) for x in resemblance.forest([7, 3, 5, 1], sets, 0.8)} == {frozenset((7, 3)), frozenset((3, 5))}
 
 
+def test_blocks_of_a_group_meet(spark):
+    """However small the blocks are: what they link has the components of all pairs, and no block grows with its group."""
+    rng = np.random.default_rng(9)
+    sets, roots = {}, {}
+    for k in range(60):
+        at = int(rng.integers(0, 60)) * 8 if k % 3 else 5000
+        sets[k] = np.arange(at, at + 100, dtype="<u4")
+        roots[k] = 2 if not k % 3 else k
+    pairs = [(a, b) for a in sets for b in sets if a < b and (both := len(np.intersect1d(sets[a], sets[b]))) >= 0.8 * (200 - both)]
+    same = [(2, k) for k, r in roots.items() if r == 2]
+    members = spark.createDataFrame([(5, k, roots[k], sets[k].tobytes()) for k in sets], "grp long, node long, root long, grams binary")
+    for block in (1, 2000, 1 << 18):
+        met: dict = {}
+        for r in resemblance.meetings(members, block).collect():
+            met.setdefault((r["a"], r["b"]), []).append(r)
+        found = []
+        for (a, b), rows in met.items():
+            rows.sort(key=lambda r: r["side"])
+            first = None if a == b else sum(r["side"] == 0 for r in rows)
+            found += resemblance.forest([r["node"] for r in rows], [bytes(r["grams"]) for r in rows], 0.8, [r["root"] for r in rows], first)
+        assert set(found) <= set(pairs)
+        assert classes(found + same, sets) == classes(pairs + same, sets)
+        assert block > 1 or max(map(len, met.values())) < 20
+
+
+def classes(links: list[tuple[int, int]], nodes: dict) -> set[frozenset]:
+    of = {k: {k} for k in nodes}
+    for a, b in links:
+        if of[a] is not of[b]:
+            of[a] |= of[b]
+            for k in of[b]:
+                of[k] = of[a]
+    return {frozenset(x) for x in of.values()}
+
+
 def test_a_task_sends_a_set_once(spark):
     """However many copies of a text a task has, over blocks too; sets without a word aren't sent."""
     long = prose(5, 2000)
