@@ -1,19 +1,20 @@
 """SimHash near-duplicates by the resemblance of shingle sets: 0.8 or more of the five-word shingles of both texts.
 
-The signatures are those of :mod:`simhash`, with more and shorter segments. At a resemblance of 0.8 a bit of two
-fingerprints differs with a probability of about 0.15, so of a segment of 8 bits at most one differs in 0.65 of all
-pairs. So few bits would meet by chance; therefore each segment goes with two sampled shingles (MinHash values, a pair
-of their own for each segment), which two texts of resemblance 0.8 share with probability 0.64: what meets follows what
-texts share and not how many texts there are. An equality join on a segment's samples brings texts together; there,
-those whose segments agree with one bit taken out, the same of both, are candidates, if their fingerprints are near.
-(The eight variants of a segment needn't be rows of their own, as they all meet at its samples.) Candidates are
-verified on the shingle sets. By calculation one of the 12 segments finds a pair of resemblance 0.8 with probability
-0.998, of 0.9 with 0.99999.
-
-Equal sets are folded before anything is compared and groups of the same members count once. Of the groups that meet,
-every member is verified against the least one it met. Of groups that this doesn't connect, the members outside the
-largest connected class are compared exactly with the group, block by block (:func:`meetings`); what comes out are the
-links that connect classes and never all pairs.
+The steps are those of :mod:`simhash`, with a longer fingerprint: segments, one-bit deletion variants, an equality join
+on variants, verification, star contraction. At a resemblance of 0.8 a bit of two fingerprints differs with a
+probability of about 0.15, so of a segment of 16 bits at most one differs in 0.28 of all pairs, and by calculation one
+of the 24 segments finds a pair of resemblance 0.8 with probability 0.9996, of 0.9 with more than 0.9999999. (Of sets of
+four and five shingles 0.19 of the bits differ, which is the worst there is: 0.988.)
+
+Each segment with one bit taken out is a variant (16 for a segment, 384 for a fingerprint). All variants whose bit is
+out of the one byte of a segment agree on its other byte, so a fingerprint is dealt out once a byte and its variants are
+made and joined where it arrives: 48 rows travel for 384 variants. What meets at a variant and is near on all 384 bits
+is connected. Sets that are connected, directly or over others, make a group.
+
+Equal sets are folded before anything is compared. Of a group, every member is verified on the shingle sets against the
+least one it met. Of groups that this doesn't connect, the members outside the largest connected class are compared
+exactly with the group, block by block (:func:`meetings`); what comes out are the links that connect classes and never
+all pairs.
 
 Case and blanks don't count; a text of fewer than five words is one shingle, and texts without a word are one set.
 """
@@ -30,14 +31,17 @@ from pyspark.sql import functions as F
 from .common import LOWER, U64, blocks, cut, mix, partitions, prefix_hashes, span_hashes, text_frame, words
 from .simhash import components, keep_rows, majority, whole_keys
 
-WORDS, SEGMENTS, WIDTH, SAMPLES = 5, 12, 8, 2
-#: Bits of the first 64 that candidates may differ in (at 0.8 about 10 do, with a deviation of 3).
-FAR = 22
+WORDS, WORDS_OF_BITS = 5, 6
+#: A segment is two bytes of the fingerprint.
+BYTES = 8 * WORDS_OF_BITS
+#: Bits of all 384 that candidates may differ in (at 0.8 about 58 do, with a deviation of 7), and of the first 64.
+FAR, FAR_FIRST = 92, 26
+#: Sets wanted for verification up to which only the texts that have them are read again, by a broadcast of their ids.
+FEW = 1 << 20
 #: Bytes of shingle sets in a block of a group whose members are compared with one another.
 MEETING = 1 << 18
 _STEP = U64(0xD6E8FEB86659FD93)
-_SALTS = np.random.default_rng(7).integers(0, 1 << 63, 2, dtype=np.int64).astype(U64)
-_SLOTS = np.random.default_rng(5).integers(0, 1 << 63, (2, SEGMENTS * SAMPLES), dtype=np.int64).astype(U64) * U64(2) + U64(1)
+_SALTS = np.random.default_rng(7).integers(0, 1 << 63, WORDS_OF_BITS, dtype=np.int64).astype(U64)
 
 
 def grams(buf: np.ndarray, at: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -74,27 +78,74 @@ def sets_of(buf: np.ndarray, at: np.ndarray, n: int = WORDS) -> tuple[np.ndarray
 
 
 def signatures(h: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """[sets, 2 + SEGMENTS]: the fingerprint's two words, and the sampled shingles of each segment as one hash."""
-    out = np.empty((len(heads) - 1, 2 + SEGMENTS), U64)
-    for k, salt in enumerate(_SALTS):
-        out[:, k] = majority(mix(h ^ salt), heads)
-    for s in range(SEGMENTS):
-        some = np.full(len(heads) - 1, s + 1, U64)
-        for k in range(s * SAMPLES, (s + 1) * SAMPLES):
-            some = mix(some ^ np.minimum.reduceat((h ^ _SLOTS[0, k]) * _SLOTS[1, k], heads[:-1])) + U64(k)
-        out[:, 2 + s] = some
-    return out
-
-
-def segment(signature: np.ndarray, s: int) -> np.ndarray:
-    """The bits of a segment."""
-    low = s * WIDTH
-    return ((signature[:, low // 64] >> U64(low % 64)) & U64((1 << WIDTH) - 1)).astype(np.int16)
-
-
-def close(fp: np.ndarray, bits: np.ndarray, left: np.ndarray, pivot: int) -> np.ndarray:
-    """Which of ``left`` share a variant with the pivot, one bit out of the segment, and have a near fingerprint."""
-    return (np.bitwise_count(bits[left] ^ bits[pivot]) <= 1) & (np.bitwise_count((fp[left] ^ fp[pivot]).view(U64)) <= FAR)
+    """[sets, WORDS_OF_BITS]: the fingerprint of each set."""
+    return np.stack([majority(mix(h ^ salt), heads) for salt in _SALTS], 1)
+
+
+def distance(fp: np.ndarray, a: np.ndarray, b: np.ndarray | int) -> np.ndarray:
+    """Bits in which rows a and b of the fingerprints differ."""
+    return np.bitwise_count(fp[a] ^ fp[b]).sum(1, dtype=np.int64)
+
+
+def variants(other: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """[8, n] keys: where a fingerprint was dealt to, which bit of the segment's other byte is out, and what is left."""
+    other = other.astype(np.int64)
+    return np.stack([place << 10 | j << 7 | (other >> (j + 1)) << j | other & ((1 << j) - 1) for j in range(8)])
+
+
+def near(key: np.ndarray, fp: np.ndarray, large: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows that connect what shares a variant and differs in ``FAR`` bits or fewer.
+
+    The rows of a key (a byte of the fingerprint: its number and value) agree on that byte. Variants of up to ``large``
+    rows are compared by shifts over the sorted table, larger ones one pivot at a time, which yields a forest."""
+    n = len(key)
+    other = np.ascontiguousarray(fp).astype("<u8").view(np.uint8)[np.arange(n), (key >> 8) ^ 1]
+    code = variants(other, np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))).ravel()
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], order % n
+    edges = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    count = np.diff(np.append(edges, len(code)))
+    # A pair that agrees in the whole segment meets at all its variants; it counts at the first of them.
+    whole = (order < n) & ((key[row] >> 8) % 2 == 0)
+    a, b, first = [], [], np.ascontiguousarray(fp[:, 0])
+    rest, shift = np.flatnonzero(np.repeat((count > 1) & (count <= large), count)), 1
+    while len(rest):
+        rest = rest[rest + shift < len(code)]
+        rest = rest[code[rest] == code[rest + shift]]
+        x, y = row[rest], row[rest + shift]
+        hit = np.flatnonzero((np.bitwise_count(first[x] ^ first[y]) <= FAR_FIRST) & (whole[rest] | (other[x] != other[y])))
+        x, y = x[hit], y[hit]
+        hit = distance(fp, x, y) <= FAR
+        a.append(x[hit])
+        b.append(y[hit])
+        shift += 1
+    for f, m in zip(edges[count > large].tolist(), count[count > large].tolist(), strict=True):
+        left = row[f : f + m]
+        while len(left) > 1:
+            frontier, left = [left[0]], left[1:]
+            while frontier and len(left):
+                pivot = frontier.pop()
+                hit = distance(fp, left, pivot) <= FAR
+                found, left = left[hit], left[~hit]
+                a.append(np.full(len(found), pivot))
+                b.append(found)
+                frontier.extend(found.tolist())
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none)
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """least, node: every node of the links a, b that isn't the least one of those it is connected with."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x) and (label[x] != label[y]).any():
+        low, high = np.minimum(label[x], label[y]), np.maximum(label[x], label[y])
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+    other = label != np.arange(len(nodes))
+    return nodes[label[other]], nodes[other]
 
 
 def with_signatures(df: DataFrame, shingle: int = WORDS) -> DataFrame:
@@ -163,51 +214,36 @@ def forest(nodes: list[int], sets: list[bytes], share: float, roots: list[int] |
     return out
 
 
-def _name(members: np.ndarray) -> int:
-    """A number for a set of nodes, whatever their order."""
-    return int(mix(np.add.reduce(mix(members.view(U64) ^ _STEP), dtype=U64, keepdims=True) + U64(len(members))).view(np.int64)[0])
-
-
-def groups_of(nodes: DataFrame) -> DataFrame:
-    """grp, node, least: candidates among nodes(node, signature), as groups with their least node. A group's members
-    share a segment's samples and are connected by what :func:`close` says."""
+def candidates(nodes: DataFrame) -> DataFrame:
+    """src < dst: links among nodes(node, signature) that connect what shares a variant and has a near fingerprint."""
+    columns = ["key", "node", *(f"w{k}" for k in range(WORDS_OF_BITS))]
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 4096):
-                part = batch.slice(k, 4096)
-                signature = np.frombuffer(b"".join(part.column(1).to_pylist()), "<u8").reshape(-1, 2 + SEGMENTS)
-                node, fp = part.column(0).to_numpy(), np.ascontiguousarray(signature[:, 0]).view(np.int64)
-                columns = [np.ascontiguousarray(signature[:, 2:].T).view(np.int64).ravel(), np.tile(node, SEGMENTS), np.tile(fp, SEGMENTS), np.concatenate([segment(signature, s) for s in range(SEGMENTS)])]
-                yield pa.RecordBatch.from_arrays(list(map(pa.array, columns)), ["key", "node", "fp", "bits"])
+            for k in range(0, batch.num_rows, 1024):
+                part = batch.slice(k, 1024)
+                fp = np.frombuffer(b"".join(part.column(1).to_pylist()), "<i8").reshape(-1, WORDS_OF_BITS)
+                keys = np.arange(BYTES, dtype=np.int32)[:, None] << 8 | fp.view(np.uint8).T
+                dealt = [keys.ravel(), *(np.tile(x, BYTES) for x in (part.column(0).to_numpy(), *fp.T))]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, dealt)), columns)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, node, fp, bits in whole_keys(batches):
-            edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            count = np.diff(np.append(edges, len(key)))
-            rows = []
-            for a, n in zip(edges[count > 1].tolist(), count[count > 1].tolist(), strict=True):
-                left = np.arange(a, a + n)
-                while len(left) > 1:
-                    some, frontier, left = [left[:1]], [left[0]], left[1:]
-                    while frontier and len(left):
-                        near = close(fp, bits, left, frontier.pop())
-                        some.append(left[near])
-                        frontier.extend(left[near].tolist())
-                        left = left[~near]
-                    members = node[np.concatenate(some)]
-                    if len(members) > 1:
-                        rows.append((np.full(len(members), _name(members)), members, np.full(len(members), members.min())))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*rows, strict=True)], ["grp", "node", "least"])
+        for key, node, *fp in whole_keys(batches):
+            a, b = near(key, np.stack(fp, 1).view(U64), large)
+            if len(a):
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, stars(node[a], node[b]))), ["src", "dst"])
 
     coded = nodes.where("signature is not null").select("node", "signature")
-    rows = coded.mapInArrow(index, "key long, node long, fp long, bits short").repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key")
-    return cut(rows.mapInArrow(met, "grp long, node long, least long").distinct())
+    # Four times as many as unrelated fingerprints would be at a variant, by chance.
+    large = 64 + 4 * (coded.count() >> 15)
+    rows = coded.mapInArrow(index, f"key int, node long, {', '.join(f'{c} long' for c in columns[2:])}")
+    rows = rows.repartition(partitions(nodes.sparkSession), "key").sortWithinPartitions("key")
+    return cut(rows.mapInArrow(met, "src long, dst long").distinct())
 
 
 def links(docs: DataFrame, nodes: DataFrame, share: float = 0.8, shingle: int = WORDS) -> DataFrame:
-    """src < dst: links among nodes(node, signature) of docs(doc_id, text), with the components of all verified candidates."""
+    """src < dst: links among nodes(node, first_id, signature) of docs(doc_id, text), with the components of all verified
+    candidates."""
     spark = docs.sparkSession
     n = partitions(spark)
 
@@ -234,14 +270,18 @@ def links(docs: DataFrame, nodes: DataFrame, share: float = 0.8, shingle: int =
         if ids:
             yield out()
 
-    groups = groups_of(nodes)
-    if groups.isEmpty():
+    met = candidates(nodes)
+    if met.isEmpty():
         return spark.createDataFrame([], "src long, dst long")
-    wanted = groups.select("node").distinct()
+    groups = cut(components(met).withColumnRenamed("root", "grp"))
+    wanted = groups.select("node")
+    ids = nodes.join(wanted, "node", "left_semi").select(F.col("first_id").alias("wanted_id")).distinct()
+    if groups.count() <= FEW:
+        docs = docs.join(F.broadcast(ids), F.col("doc_id").cast("long").eqNullSafe(F.col("wanted_id")), "left_semi")
     sets = cut(with_sets(docs, shingle).join(wanted, "node", "left_semi").groupBy("node").agg(F.first("grams").alias("grams")))
     of = lambda name, grams: sets.select(F.col("node").alias(name), F.col("grams").alias(grams))
-    stars = cut(groups.where("node <> least").groupBy(F.col("node").alias("dst")).agg(F.min("least").alias("src")))
-    pairs = stars.join(of("dst", "b"), "dst").join(of("src", "a"), "src").select("src", "dst", "a", "b")
+    least = cut(met.groupBy("dst").agg(F.min("src").alias("src")))
+    pairs = least.join(of("dst", "b"), "dst").join(of("src", "a"), "src").select("src", "dst", "a", "b")
     sure = cut(pairs.mapInArrow(verify, "src long, dst long"))
     roots = cut(components(sure))
     placed = groups.join(roots, "node", "left").select("grp", "node", F.coalesce("root", "node").alias("root"))
@@ -249,8 +289,8 @@ def links(docs: DataFrame, nodes: DataFrame, share: float = 0.8, shingle: int =
     if apart.isEmpty():
         return sure
     rest = cut(placed.join(apart, "grp").join(sets, "node").select("grp", "node", "root", "grams"))
-    met = meetings(rest).repartition(n, "grp", "a", "b").sortWithinPartitions("grp", "a", "b", "side")
-    return sure.union(met.mapInArrow(connect, "src long, dst long")).distinct()
+    compared = meetings(rest).repartition(n, "grp", "a", "b").sortWithinPartitions("grp", "a", "b", "side")
+    return sure.union(compared.mapInArrow(connect, "src long, dst long")).distinct()
 
 
 def meetings(members: DataFrame, block: int = MEETING) -> DataFrame:

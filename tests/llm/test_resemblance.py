@@ -139,3 +139,58 @@ def test_a_task_sends_a_set_once(spark):
     docs = documents(spark, rows).coalesce(1).select("doc_id", "text")
     found = [r["node"] for r in resemblance.with_sets(docs).collect()]
     assert len(found) == len(set(found)) == len({shingles(t) for _, t, _, _ in rows if t})
+
+
+def segments_near(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether some segment of two bytes differs in one bit or none, bit by bit, and all bits are near."""
+    differ = [bin(int(a) ^ int(b)).count("1") for a, b in zip(x.view(np.uint16), y.view(np.uint16), strict=True)]
+    return min(differ) <= 1 and sum(differ) <= resemblance.FAR
+
+
+def test_candidates_meet_at_deletion_variants(spark):
+    """Fingerprints alone decide: those that share a segment with one bit out, and no others, whatever they are of."""
+    rng = np.random.default_rng(4)
+    fps = []
+    for g in range(30):
+        first = rng.integers(0, 256, resemblance.BYTES, dtype=np.uint8)
+        fps.append(first)
+        for bits in (2, 3, 4):
+            # Each segment of the copy differs in so many bits, one segment in exactly one.
+            copy = first.view(np.uint16).copy()
+            for s in range(len(copy)):
+                for p in rng.choice(16, 1 if s == g % 24 and bits < 4 else bits, replace=False):
+                    copy[s] ^= np.uint16(1 << int(p))
+            fps.append(copy.view(np.uint8))
+    hot = rng.integers(0, 256, resemblance.BYTES, dtype=np.uint8)
+    for k in range(120):  # more than are compared by shifts
+        copy = hot.copy()
+        copy[k % resemblance.BYTES] ^= np.uint8(1 << k % 8)
+        copy[(k * 7 + 1) % resemblance.BYTES] ^= np.uint8(1 << k % 5)
+        fps.append(copy)
+    pairs = [(a, b) for b in range(len(fps)) for a in range(b) if segments_near(fps[a], fps[b])]
+    apart = [(a, b) for b in range(len(fps)) for a in range(b) if not segments_near(fps[a], fps[b])]
+    assert len(pairs) > 5000 and sum(a // 4 == b // 4 < 30 for a, b in apart) > 30
+    nodes = spark.createDataFrame([(k, k, x.tobytes()) for k, x in enumerate(fps)] + [(900, 900, None)], "node long, first_id long, signature binary")
+    found = [(r["src"], r["dst"]) for r in resemblance.candidates(nodes).collect()]
+    assert all(a < b for a, b in found)
+    assert classes(found, dict.fromkeys(range(len(fps)))) == classes(pairs, dict.fromkeys(range(len(fps))))
+
+
+def test_pairs_at_eight_tenths_are_found():
+    """Of random sets with a resemblance of just 0.8, 0.99 or more are candidates; unrelated sets aren't."""
+    rng = np.random.default_rng(6)
+    h, heads = [], [0]
+    for _ in range(300):
+        both, own = rng.integers(0, 1 << 63, 80).astype(np.uint64), rng.integers(0, 1 << 63, 20).astype(np.uint64)
+        for part in (own[:10], own[10:]):
+            h += [both, part]
+            heads.append(heads[-1] + 90)
+    fps = resemblance.signatures(np.concatenate(h), np.array(heads))
+    met = set()
+    for byte in range(resemblance.BYTES):
+        key = byte << 8 | np.ascontiguousarray(fps).view(np.uint8)[:, byte].astype(np.int32)
+        order = np.argsort(key, kind="stable")
+        a, b = resemblance.near(key[order], fps[order], 64)
+        met |= {(min(x, y), max(x, y)) for x, y in zip(order[a].tolist(), order[b].tolist(), strict=True)}
+    assert sum((2 * k, 2 * k + 1) in met for k in range(300)) >= 297
+    assert all(a // 2 == b // 2 for a, b in met)
