@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 2 << 20
+#: Bytes of text on which work goes byte by byte at a time, so that its arrays stay in a core's cache.
+TILE = 1 << 17
 U64 = np.uint64
 #: The six ASCII blanks of the word pattern ``[^\x20\x09-\x0D]+``.
 BLANK = np.zeros(256, bool)
@@ -92,6 +94,15 @@ def blocks(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = BL
             row = end
 
 
+def tiles(at: np.ndarray, most: int = TILE) -> Iterator[tuple[int, int]]:
+    """First text and end of each stretch of a block's texts that has about ``most`` bytes (or one longer text)."""
+    a, n = 0, len(at) - 1
+    while a < n:
+        b = max(a + 1, int(np.searchsorted(at, at[a] + most, "right")) - 1)
+        yield a, b
+        a = b
+
+
 def runs(solid: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and document of each run of true values; no run crosses a document's end."""
     if not len(solid):
@@ -128,10 +139,11 @@ def _power(n: int) -> list[np.ndarray]:
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: every input bit reaches every output bit."""
     h = h ^ (h >> U64(33))
-    h = h * U64(0xFF51AFD7ED558CCD)
+    h *= U64(0xFF51AFD7ED558CCD)
     h ^= h >> U64(33)
     h *= U64(0xC4CEB9FE1A85EC53)
-    return h ^ (h >> U64(33))
+    h ^= h >> U64(33)
+    return h
 
 
 def prefix_hashes(buf: np.ndarray) -> np.ndarray:
@@ -146,6 +158,11 @@ def span_hashes(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((sums[end] - sums[start]) * _power(len(sums))[1][start])
 
 
+def window_hashes(sums: np.ndarray, width: int) -> np.ndarray:
+    """:func:`span_hashes` of all spans of ``width`` bytes."""
+    return mix((sums[width:] - sums[:-width]) * _power(len(sums))[1][: len(sums) - width])
+
+
 def text_frame(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """Only the columns that an operator works with, under names of its own; no other column can clash."""
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *(F.col(f"`{c}`") for c in more))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, U64, blocks, cut, mix, partitions, prefix_hashes, span_hashes, text_frame, words
+from .common import LOWER, U64, blocks, cut, mix, partitions, prefix_hashes, span_hashes, text_frame, tiles, words
 from .simhash import components, keep_rows, majority, whole_keys
 
 WORDS, WORDS_OF_BITS = 5, 6
@@ -46,6 +46,16 @@ _SALTS = np.random.default_rng(7).integers(0, 1 << 63, WORDS_OF_BITS, dtype=np.i
 
 def grams(buf: np.ndarray, at: np.ndarray, n: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Text and hash of every distinct shingle of a block's texts, in order of both."""
+    found = []
+    for a, b in tiles(at):
+        owner, h = _grams(buf[at[a] : at[b]], at[a : b + 1] - at[a], n)
+        found.append((owner + a, h))
+    none = (np.zeros(0, np.int64), np.zeros(0, U64))
+    owner, h = (np.concatenate(c) for c in zip(none, *found, strict=True))
+    return owner, h
+
+
+def _grams(buf: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     start, end, doc = words(buf, at)
     if not len(start):
         return np.zeros(0, np.int64), np.zeros(0, U64)
@@ -55,14 +65,19 @@ def grams(buf: np.ndarray, at: np.ndarray, n: int = WORDS) -> tuple[np.ndarray,
     shingles = np.maximum(1, count - n + 1)
     rows = np.concatenate([[0], np.cumsum(shingles)])
     head = np.repeat(first - rows[:-1], shingles) + np.arange(rows[-1])
-    stop = np.repeat(first + count, shingles)
-    h = np.zeros(len(head), U64)
+    each, beyond = np.zeros(len(word), U64), np.concatenate([word, np.zeros(n, U64)])
     for k in range(n):
-        inside = head + k < stop
-        h[inside] = h[inside] * _STEP + word[head[inside] + k]
-    h, owner = mix(h), doc[head]
-    order = np.lexsort((h, owner))
-    h, owner = h[order], owner[order]
+        each = each * _STEP + beyond[k : k + len(word)]
+    h = each[head]
+    for k in np.flatnonzero(count < n).tolist():  # all words of a short text are its shingle
+        one = U64(0)
+        with np.errstate(over="ignore"):
+            for x in word[first[k] : first[k] + count[k]]:
+                one = one * _STEP + x
+        h[rows[k]] = one
+    h, owner = mix(h), np.repeat(doc[first], shingles)
+    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
+        h[a:b].sort()
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])])
     return owner[new], h[new]
 
@@ -101,24 +116,31 @@ def near(key: np.ndarray, fp: np.ndarray, large: int) -> tuple[np.ndarray, np.nd
     n = len(key)
     other = np.ascontiguousarray(fp).astype("<u8").view(np.uint8)[np.arange(n), (key >> 8) ^ 1]
     code = variants(other, np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))).ravel()
-    order = np.argsort(code, kind="stable")
-    code, row = code[order], order % n
-    edges = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    # Sorted with the number of the variant below, which numpy does faster than an argsort; 2^25 rows of a key fit.
+    code = np.sort(code << 28 | np.arange(len(code)))
+    order = code & ((1 << 28) - 1)
+    row = order % n
+    edges = np.flatnonzero(np.concatenate([[True], code[1:] >> 28 != code[:-1] >> 28]))
     count = np.diff(np.append(edges, len(code)))
     # A pair that agrees in the whole segment meets at all its variants; it counts at the first of them.
     whole = (order < n) & ((key[row] >> 8) % 2 == 0)
-    a, b, first = [], [], np.ascontiguousarray(fp[:, 0])
-    rest, shift = np.flatnonzero(np.repeat((count > 1) & (count <= large), count)), 1
-    while len(rest):
-        rest = rest[rest + shift < len(code)]
-        rest = rest[code[rest] == code[rest + shift]]
-        x, y = row[rest], row[rest + shift]
-        hit = np.flatnonzero((np.bitwise_count(first[x] ^ first[y]) <= FAR_FIRST) & (whole[rest] | (other[x] != other[y])))
-        x, y = x[hit], y[hit]
+    a, b, first, own = [], [], np.ascontiguousarray(fp[:, 0])[row], other[row]
+    after = (np.repeat(edges + count, count) - np.arange(1, len(code) + 1)).astype(np.int32)
+    after[np.repeat(count > large, count)] = 0
+    rest = None
+    for shift in range(1, int(after.max(initial=0)) + 1):
+        if rest is None:
+            inside = after[:-shift] >= shift
+            hit = np.flatnonzero(inside & (np.bitwise_count(first[shift:] ^ first[:-shift]) <= FAR_FIRST))
+            rest = np.flatnonzero(inside) if 4 * np.count_nonzero(inside) < len(code) else None
+        else:
+            rest = rest[after[rest] >= shift]
+            hit = rest[np.bitwise_count(first[rest + shift] ^ first[rest]) <= FAR_FIRST]
+        hit = hit[whole[hit] | (own[hit] != own[hit + shift])]
+        x, y = row[hit], row[hit + shift]
         hit = distance(fp, x, y) <= FAR
         a.append(x[hit])
         b.append(y[hit])
-        shift += 1
     for f, m in zip(edges[count > large].tolist(), count[count > large].tolist(), strict=True):
         left = row[f : f + m]
         while len(left) > 1:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import U64, blocks, cut, mix, partitions, prefix_hashes, range_of, span_hashes
+from .common import U64, blocks, cut, mix, partitions, prefix_hashes, range_of, tiles, window_hashes
 
 LENGTH, GRAM = 100, 24
 SIDE = LENGTH - GRAM  # the largest distance of an anchor from its window's start
@@ -41,31 +41,31 @@ NO_ID = (1 << 63) - 1
 def anchors(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     """Of a block of texts: each anchor's document, place in the block, gram hash, and the least and greatest distance
     from the starts of the windows it represents (consecutive ones)."""
-    none = tuple(np.zeros(0, np.int64) for _ in range(5))
+    found = [tuple(np.zeros(0, np.int64) for _ in range(5))]
+    for a, b in tiles(at):
+        if at[b] - at[a] >= LENGTH:
+            doc, place, *rest = _anchors(buf[at[a] : at[b]], at[a : b + 1] - at[a])
+            found.append((doc + a, place + at[a], *rest))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _anchors(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     n = len(buf)
-    if n < LENGTH:
-        return none
-    sums = prefix_hashes(buf)
-    start = np.arange(n - GRAM + 1)
-    h = span_hashes(sums, start, start + GRAM)
+    h = window_hashes(prefix_hashes(buf), GRAM)
     # The hash's upper half and the place: the same choice in a block of any size.
-    low = (h >> U64(32) << U64(32)) | start.astype(U64)
+    low = (h >> U64(32) << U64(32)) | np.arange(n - GRAM + 1).astype(U64)
     width = 1
     while 2 * width <= SIDE + 1:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
     low = np.minimum(low[: len(low) - (SIDE + 1 - width)], low[SIDE + 1 - width :])
     place = (low & U64((1 << 32) - 1)).astype(np.int64)  # by window start
-    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))[: len(place)]
-    whole = np.arange(len(place)) + LENGTH <= at[doc + 1]
-    s = np.flatnonzero(whole)
-    if not len(s):
-        return none
-    p, d = place[s], doc[s]
-    head = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (d[1:] != d[:-1])]))
-    tail = np.append(head[1:], len(s)) - 1
+    s = np.flatnonzero(np.arange(LENGTH, len(place) + LENGTH) <= np.repeat(at[1:], np.diff(at))[: len(place)])
+    p = place[s]
+    head = np.flatnonzero(np.concatenate([[True], p[1:] != p[:-1]])) if len(s) else s
+    tail = np.append(head[1:], len(s)) - 1 if len(s) else s
     p = p[head]
-    return d[head], p, h[p].view(np.int64), p - s[tail], p - s[head]
+    return np.searchsorted(at, p, "right") - 1, p, h[p].view(np.int64), p - s[tail], p - s[head]
 
 
 def surroundings(buf: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -194,3 +194,31 @@ def test_pairs_at_eight_tenths_are_found():
         met |= {(min(x, y), max(x, y)) for x, y in zip(order[a].tolist(), order[b].tolist(), strict=True)}
     assert sum((2 * k, 2 * k + 1) in met for k in range(300)) >= 297
     assert all(a // 2 == b // 2 for a, b in met)
+
+
+def test_bytes_are_worked_on_in_tiles():
+    """A block of many texts gives what its texts give one by one, in arrays of a tile's size and not of the block's."""
+    import tracemalloc
+
+    from lateweave.llm import common, suffix_dedup
+
+    rows = [prose(k, 40 + 37 * k % 900).encode() for k in range(300)] + [b"", b"one", b"two of", b" ", b"x " * 200_000, b""]
+    at = np.cumsum([0, *map(len, rows)])
+    buf = np.frombuffer(b"".join(rows), np.uint8)
+    assert [a for a, _ in common.tiles(at)][1:] == [b for _, b in common.tiles(at)][:-1]
+    assert all(b == a + 1 or at[b] - at[a] <= common.TILE for a, b in common.tiles(at))
+    for work in (suffix_dedup.anchors, lambda buf, at: resemblance.grams(buf, at)):
+        alone = [work(buf[at[k] : at[k + 1]], at[k : k + 2] - at[k]) for k in range(len(rows))]
+        doc = np.concatenate([x[0] + k for k, x in enumerate(alone)])
+        found = work(buf, at)
+        assert np.array_equal(found[0], doc)
+        assert np.array_equal(found[-1], np.concatenate([x[-1] for x in alone]))
+    texts = np.frombuffer(b"".join(rows[:300]) * 16, np.uint8)
+    starts = np.cumsum([0, *map(len, rows[:300] * 16)])
+    for work in (suffix_dedup.anchors, resemblance.grams):
+        work(texts[:1000], np.array([0, 1000]))
+        tracemalloc.start()
+        work(texts, starts)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert most < 16 * len(texts), (work, most / len(texts))
