@@ -194,13 +194,17 @@ def rerank(candidates: DataFrame, qtokens: DataFrame, tokens: DataFrame, n: int
 # Rows of a document that take part in re-ranking
 
 
-def half_rows(tokens: DataFrame, policy: str = "front") -> DataFrame:
+def half_rows(tokens: DataFrame, policy: str = "front", size: int | None = None) -> DataFrame:
     """Half of every document's rows: the first, the last, or (stride2) a quarter from either end. At least one row;
-    an unknown policy is ``front``. A row's place is its tok, which counts from 0 in each document."""
-    n = tokens.groupBy("doc_id").agg(F.count("*").alias("n"))
-    half, quarter = "greatest(1, n div 2)", "greatest(1, greatest(1, n div 2) div 2)"
-    keep = {"back": f"tok >= n - {half}", "stride2": f"tok < {quarter} or tok >= n - {quarter}"}.get(policy, f"tok < {half}")
-    return tokens.join(n, "doc_id").where(F.expr(keep)).select(*tokens.columns)
+    an unknown policy is ``front``. A row's place is its tok, which counts from 0 in each document.
+
+    size: every document has so many places, taken or not, and the half is theirs; nothing is counted then, and the last
+    half of a document that was cut short may be empty."""
+    n = "n" if size is None else f"{size}"
+    half, quarter = f"greatest(1, {n} div 2)", f"greatest(1, greatest(1, {n} div 2) div 2)"
+    keep = {"back": f"tok >= {n} - {half}", "stride2": f"tok < {quarter} or tok >= {n} - {quarter}"}.get(policy, f"tok < {half}")
+    counted = tokens if size is not None else tokens.join(tokens.groupBy("doc_id").agg(F.count("*").alias("n")), "doc_id")
+    return counted.where(F.expr(keep)).select(*tokens.columns)
 
 
 def strongest_rows(tokens: DataFrame, most: int) -> DataFrame:
