@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -10,17 +12,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Up to so many values a vector is spelled out, value by value, which Spark compiles; the JVM leaves a method as long as
+#: more would make it uncompiled, so longer vectors are made by functions over arrays.
+SPELLED_OUT = 16
+
+
 def hash_tokens(texts: DataFrame, dimension: int = 64, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, tok, vec: a unit vector for each blank-separated word (lower case), from hashes of the word alone.
 
     No model is needed and equal words have equal vectors, so bags that share words are alike. A null text is empty and
     an empty text has no token.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+"), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\s+"), "")
     t = texts.select(F.col(id_col).alias(id_col), F.posexplode(words).alias("tok", "word"))
-    steps = F.sequence(F.lit(0), F.lit(dimension - 1))
-    raw = F.transform(steps, lambda k: F.pmod(F.xxhash64(F.lit(seed), k, F.col("word")), F.lit(2001)) / 1000.0 - 1.0)
-    t = t.select(id_col, F.col("tok").cast("long").alias("tok"), raw.alias("raw"))
+    value = lambda k: F.pmod(F.xxhash64(F.lit(seed), k, F.col("word")), F.lit(2001)) / 1000.0 - 1.0
+    tok = F.col("tok").cast("long").alias("tok")
+    if dimension <= SPELLED_OUT:
+        raw = [F.col(f"__raw{k}") for k in range(dimension)]
+        t = t.select(id_col, tok, *(value(F.lit(k)).alias(f"__raw{k}") for k in range(dimension)))
+        t = t.withColumn("size", F.sqrt(reduce(add, (x * x for x in raw), F.lit(0.0))))
+        return t.select(id_col, "tok", F.when(F.col("size") > 0, F.array(*(x / F.col("size") for x in raw))).otherwise(F.array(*raw)).alias("vec"))
+    t = t.select(id_col, tok, F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), value).alias("raw"))
     size = F.sqrt(F.aggregate("raw", F.lit(0.0), lambda s, x: s + x * x))
     return t.withColumn("size", size).select(id_col, "tok", F.transform("raw", lambda x: F.when(F.col("size") > 0, x / F.col("size")).otherwise(x)).alias("vec"))
 
