@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-#: Up to so many values a vector is spelled out, value by value, which Spark compiles; the JVM leaves a method as long as
-#: more would make it uncompiled, so longer vectors are made by functions over arrays.
+#: Up to so many values a vector is spelled out, value by value, which Spark compiles. Longer ones are made by functions over
+#: arrays: 64 values spelled out were far slower, as the JVM is likely to leave a method that long uncompiled.
 SPELLED_OUT = 16
 
 
